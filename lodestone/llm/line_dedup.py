@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .links import link
-from .scratch import Scratch
+from .scratch import Scratch, semi_join
 
 #: Each of the hash functions gives two signature values, its least and its greatest; 10 bands of 4 rows miss a pair
 #: of similarity 0.8 five times in a thousand and one of 0.9 twice in a hundred thousand.
@@ -18,8 +18,6 @@ _LETTER, _MARK = "A-Za-z0-9À-ɏͰ-ԯ", " -/:-@\\[-`{-~"
 SHINGLE = f"(?s)(?=(.{{1,12}}))(?:[{_LETTER}]{{1,8}}[{_MARK}]{{0,8}}|[{_MARK}]{{1,8}}|.)"
 #: Lines a document may have; a line's id is document * LINES + number.
 LINES = 1 << 24
-#: Ids up to which a wanted set is broadcast instead of shuffling all texts.
-MOST_BROADCAST = 1_000_000
 
 
 def _shingles(line: Column) -> Column:
@@ -34,11 +32,6 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return src.select((F.col("doc") * LINES + number).alias("id"), F.trim("raw").alias("line")).where("line <> ''")
 
 
-def semi_join(big: DataFrame, wanted: DataFrame, key: str, most: int = MOST_BROADCAST) -> DataFrame:
-    """Rows of big whose key is wanted; wanted (written, distinct) is broadcast only if it has at most `most` rows."""
-    return big.join(F.broadcast(wanted) if wanted.count() <= most else wanted, key, "left_semi")
-
-
 def removed_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """(doc, gone: sorted line numbers) for every document that loses lines."""
     scratch = Scratch(spark, "lines")
@@ -67,7 +60,7 @@ def removed_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         scratch.drop(pairs, wanted, owners, sets)
         return found
 
-    _, label = link(kinds.select(F.explode("bands").alias("bucket"), F.col("first").alias("id")), verify, scratch)
+    label = link(kinds.select(F.explode("bands").alias("bucket"), F.col("first").alias("id"), F.lit(1).alias("size")), verify, scratch, percent)
     kept = kinds.select("k1", "k2", "first").join(label.select(F.col("id").alias("first"), "component"), "first", "left")
     kept = kept.select("k1", "k2", F.coalesce("component", "first").alias("stays"))
     gone = keyed.select("id", "k1", "k2").join(kept, ["k1", "k2"]).where("id <> stays").select("id")

@@ -1,54 +1,84 @@
-"""Candidate pairs of banded buckets without emitting all pairs of a bucket.
+"""Links among the members of banded buckets without emitting all pairs of a bucket.
 
-Round 1 links every member of a bucket to the bucket's least id. Round 2 takes, of buckets that still hold several
-components, another leader. The last round takes the pairs of one bucket that lie in different components, so every
-pair of a bucket is either compared or already known to be connected: nothing is capped and nothing is lost."""
+Round 1 compares every member of a bucket with the bucket's least id, round 2, in buckets that still hold several
+components, with another leader. What is then left are pairs of one bucket in different components: small buckets
+give them by a join, large ones are compared block by block, where only links that hold are emitted. So every pair
+of a bucket is compared or already connected: nothing is capped and nothing is lost."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
 from .scratch import Scratch
 
+#: Members from which an open bucket counts as large, and the rows of a block.
+LARGE, BLOCK = 48, 192
+
+
+def _alike(a: str, b: str, percent: int) -> Column:
+    """Sizes so far apart cannot reach the similarity."""
+    return F.least(F.col(a), F.col(b)) * 100 >= F.greatest(F.col(a), F.col(b)) * percent
+
 
 def shared_buckets(buckets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(bucket, id) of the buckets with at least two ids, with the least id of the bucket as leader."""
-    least = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("_most")).where("leader < _most").drop("_most")
-    return scratch.cut(buckets.join(least, "bucket").select("bucket", "id", "leader"), "buckets")
+    """(bucket, id, size, leader, lsize) of the buckets with at least two ids."""
+    least = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("_most"), F.min_by("size", "id").alias("lsize")).where("leader < _most").drop("_most")
+    return scratch.cut(buckets.join(least, "bucket").select("bucket", "id", "size", "leader", "lsize"), "buckets")
 
 
-def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(edges, component labels) of the links that verify() confirms among candidates.
+def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, percent: int, blocks: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(id, component) of the ids that have a link which holds.
 
-    buckets (bucket long, id long), each pair once; verify takes (a, b), a < b, and returns those that hold.
-    Labels (id, component) cover the ids that have an edge."""
+    buckets (bucket long, id long, size), each pair of bucket and id once; verify takes (a, b), a < b, and returns
+    those that hold. blocks takes (key1, key2, key3, side, id, component), where the rows of one key are to be compared
+    side 0 with side 1, and returns the links (a, b) that hold; without it large buckets go through the join too."""
     shared = shared_buckets(buckets, scratch)
-    edges = scratch.cut(verify(shared.where("id > leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()), "edges")
+    first = shared.where("id > leader").where(_alike("size", "lsize", percent)).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    edges = scratch.cut(verify(first), "edges")
     label = components(edges, scratch)
 
-    def open_buckets() -> DataFrame:
-        known = shared.select("bucket", "id").join(label, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    def open_buckets(rows: DataFrame) -> DataFrame:
+        known = rows.select("bucket", "id", "size").join(label, "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("component"))
         known = scratch.cut(known, "known")
-        several = known.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi")
-        return scratch.cut(known.join(several.select("bucket"), "bucket"), "open")
+        several = known.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("members")).where("_lo < _hi")
+        out = scratch.cut(known.join(several.select("bucket", "members"), "bucket"), "open")
+        scratch.drop(known)
+        return out
 
     # another leader: the member whose hash with the bucket is least
-    still = open_buckets()
+    still = open_buckets(shared)
+    scratch.drop(shared)
     order = F.xxhash64("bucket", "id")
-    other = still.groupBy("bucket").agg(F.min_by("id", order).alias("leader"), F.min_by("component", order).alias("leads"))
-    second = still.join(other, "bucket").where("component <> leads").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    second = second.join(edges, ["a", "b"], "left_anti")
-    edges = edges.union(scratch.cut(verify(second), "edges"))
+    other = still.groupBy("bucket").agg(F.min_by(F.struct("id", "component", "size"), order).alias("l"))
+    second = still.join(other, "bucket").select("id", "component", "size", F.col("l.id").alias("leader"), F.col("l.component").alias("leads"), F.col("l.size").alias("lsize"))
+    second = second.where("component <> leads").where(_alike("size", "lsize", percent)).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    edges = edges.union(scratch.cut(verify(second.join(edges, ["a", "b"], "left_anti")), "edges"))
     label = components(edges, scratch)
 
     # what is left: pairs of one bucket in different components
-    still = open_buckets()
-    left = still.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"))
-    right = still.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"))
-    third = left.join(right, "bucket").where("a < b and ca <> cb").select("a", "b").distinct()
-    edges = scratch.cut(edges.union(verify(third)), "edges")
-    return edges, components(edges, scratch)
+    rest = open_buckets(still)
+    scratch.drop(still)
+    small = rest.where(F.col("members") < LARGE) if blocks else rest
+    left = small.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("size").alias("sa"))
+    right = small.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"))
+    third = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike("sa", "sb", percent)).select("a", "b").distinct()
+    edges = edges.union(verify(third))
+    if blocks:
+        edges = edges.union(blocks(_blocks(rest.where(F.col("members") >= LARGE))))
+    return components(scratch.cut(edges, "edges"), scratch)
+
+
+def _blocks(rest: DataFrame) -> DataFrame:
+    """Members outside a bucket's commonest component (side 0) against all its members (side 1), cut into blocks."""
+    sizes = rest.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    shape = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    shape = shape.select("bucket", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("xs"), F.ceil(F.col("all") / BLOCK).cast("int").alias("ys"))
+    rows = rest.join(shape, "bucket")
+    mix = F.xxhash64("id")
+    x = rows.where("component <> main").select("bucket", F.pmod(mix, F.col("xs")).cast("int").alias("xb"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("yb"), F.lit(0).alias("side"), "id", "component")
+    y = rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("xb"), F.pmod(mix, F.col("ys")).cast("int").alias("yb"), F.lit(1).alias("side"), "id", "component")
+    return x.union(y).toDF("key1", "key2", "key3", "side", "id", "component")

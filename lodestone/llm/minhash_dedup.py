@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .links import link
-from .scratch import Scratch
+from .scratch import Scratch, semi_join
 
-#: 48 bands of 6 rows miss a pair of similarity 0.8 once in two million.
-BANDS, ROWS = 48, 6
+#: 64 bands of 8 rows miss a pair of similarity 0.8 eight times in a million, one of 0.85 not once in ten million.
+BANDS, ROWS = 64, 8
 #: Hashes compared at a time, and the posterior probability under which a pair is given up.
-BATCH, MISS = 48, 1e-9
+BATCH, MISS = 64, 1e-6
 
 
 def prune_table(threshold: float, size: int = BANDS * ROWS, batch: int = BATCH, miss: float = MISS) -> list[tuple[int, int]]:
@@ -25,7 +25,9 @@ def prune_table(threshold: float, size: int = BANDS * ROWS, batch: int = BATCH,
 
     With a uniform prior the similarity after m agreements of n is Beta(m + 1, n - m + 1); a pair goes as soon
     as the posterior chance of reaching the threshold is under `miss`. That chance, a regularised incomplete
-    beta function with whole parameters, is a binomial sum: P(Bin(n + 1, threshold) <= m)."""
+    beta function with whole parameters, is a binomial sum: P(Bin(n + 1, threshold) <= m). Signatures keep 8 bits
+    of each hash, of which one in 256 agrees by chance."""
+    threshold += (1 - threshold) / 256
     out = []
     for n in range(batch, size + 1, batch):
         chance, m = 0.0, -1
@@ -37,7 +39,7 @@ def prune_table(threshold: float, size: int = BANDS * ROWS, batch: int = BATCH,
 
 
 def _sketch(words: int):
-    """Batches of (id, text) to (id, n_shingles, two set fingerprints, signature of 16-bit values, band keys)."""
+    """Batches of (id, text) to (id, n_shingles, two set fingerprints, signature of 8-bit values, band keys)."""
     hasher = K.MinHash(BANDS * ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +62,7 @@ def _sketch(words: int):
                         K.longs(np.diff(so)),
                         K.longs(prints[0]),
                         K.longs(prints[1]),
-                        K.binary_rows((sig & np.uint32(0xFFFF)).astype(np.uint16)),
+                        K.binary_rows((sig & np.uint32(0xFF)).astype(np.uint8)),
                         K.list_of(keys[full].reshape(-1), np.concatenate([[0], np.cumsum(np.where(full, BANDS, 0))])),
                     ],
                     ["id", "n_shingles", "p1", "p2", "signature", "bands"],
@@ -89,8 +91,8 @@ def _prune(threshold: float):
 
     def run(batches):
         for batch in batches:
-            left = K.matrix_of(batch.column(2), np.uint16, BANDS * ROWS)
-            right = K.matrix_of(batch.column(3), np.uint16, BANDS * ROWS)
+            left = K.matrix_of(batch.column(2), np.uint8, BANDS * ROWS)
+            right = K.matrix_of(batch.column(3), np.uint8, BANDS * ROWS)
             alive, agreed, done = np.arange(len(left)), np.zeros(len(left), np.int64), 0
             for n, least in table:
                 agreed[alive] += (left[alive, done:n] == right[alive, done:n]).sum(1)
@@ -120,6 +122,48 @@ def _confirm(percent: int):
     return run
 
 
+def _compare(percent: int):
+    """Blocks (key1, key2, key3, side, id, component, signature, shingles), sorted by key, to links (a, b) that hold."""
+    table = prune_table(percent / 100)
+
+    def links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        ys = [r for r in rows if r[0] == 1]
+        if not ys:
+            return
+        sigs = np.stack([np.frombuffer(r[3], np.uint8) for r in ys])
+        sets = [np.frombuffer(r[4], K.U64) for r in ys]
+        size, ids, comps = np.array([len(s) for s in sets]), np.array([r[1] for r in ys]), np.array([r[2] for r in ys])
+        for _, i, comp, sig, raw in (r for r in rows if r[0] == 0):
+            own, x = np.frombuffer(sig, np.uint8), np.frombuffer(raw, K.U64)
+            alive = np.flatnonzero((comps != comp) & (np.minimum(size, len(x)) * 100 >= np.maximum(size, len(x)) * percent))
+            agreed, done = np.zeros(len(ys), np.int64), 0
+            for n, least in table:
+                agreed[alive] += (sigs[alive, done:n] == own[done:n]).sum(1)
+                alive, done = alive[agreed[alive] >= least], n
+            met = set()
+            for j in alive[np.argsort(-agreed[alive], kind="stable")].tolist():
+                if comps[j] not in met:  # one link connects the components
+                    both = len(np.intersect1d(x, sets[j], assume_unique=True))
+                    if 100 * both >= percent * (len(x) + len(sets[j]) - both):
+                        met.add(comps[j])
+                        yield min(i, int(ids[j])), max(i, int(ids[j]))
+
+    def run(batches):
+        key, rows = None, []
+        for batch in batches:
+            out = []
+            for k1, k2, k3, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (k1, k2, k3) != key:
+                    out += links(rows)
+                    key, rows = (k1, k2, k3), []
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+        out = list(links(rows))
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row of docs.
 
@@ -137,22 +181,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     classes = sketch.where("n_shingles > 0 and id is not null").groupBy("p1", "p2", "n_shingles").agg(F.min("id").alias("leader"))
     member = scratch.cut(sketch.select("id", "n_shingles", "p1", "p2").join(classes, ["p1", "p2", "n_shingles"], "left").select("id", "n_shingles", "leader"), "member")
     leads = sketch.join(classes.select("p1", "p2", "n_shingles", F.col("leader").alias("id")), ["p1", "p2", "n_shingles", "id"], "left_semi")
-    leads = scratch.cut(leads.select("id", "signature", "bands").dropDuplicates(["id"]), "leads")
+    leads = scratch.cut(leads.select("id", "signature", "bands", F.col("n_shingles").alias("size")).dropDuplicates(["id"]), "leads")
     scratch.drop(sketch)
 
     signatures = leads.select("id", "signature")
 
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return scratch.cut(semi_join(src, wanted, "id").mapInArrow(_sets(words), "id long, shingles binary").dropDuplicates(["id"]), "sets")
+
     def verify(pairs: DataFrame) -> DataFrame:
         seen = pairs.join(signatures.toDF("a", "sa"), "a").join(signatures.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
         alive = scratch.cut(seen.mapInArrow(_prune(percent / 100), "a long, b long"), "alive")
-        wanted = alive.select(F.col("a").alias("id")).union(alive.select("b")).distinct()
-        sets = scratch.cut(src.join(wanted, "id", "left_semi").mapInArrow(_sets(words), "id long, shingles binary").dropDuplicates(["id"]), "sets")
+        wanted = scratch.cut(alive.select(F.col("a").alias("id")).union(alive.select("b")).distinct(), "wanted")
+        sets = sets_of(wanted)
         full = alive.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
         found = scratch.cut(full.mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
-        scratch.drop(alive, sets)
+        scratch.drop(alive, wanted, sets)
         return found
 
-    _, label = link(leads.select(F.explode("bands").alias("bucket"), "id"), verify, scratch)
+    def blocks(rows: DataFrame) -> DataFrame:
+        rows = scratch.cut(rows, "blocks")
+        wanted = scratch.cut(rows.select("id").distinct(), "wanted")
+        full = rows.join(sets_of(wanted).join(signatures, "id"), "id").select("key1", "key2", "key3", "side", "id", "component", "signature", "shingles")
+        full = full.repartition("key1", "key2", "key3").sortWithinPartitions("key1", "key2", "key3")
+        return scratch.cut(full.mapInArrow(_compare(percent), "a long, b long"), "confirmed").distinct()
+
+    label = link(leads.select(F.explode("bands").alias("bucket"), "id", "size"), verify, scratch, percent, blocks)
     out = member.join(label.withColumnRenamed("id", "leader"), "leader", "left")
     out = out.select("id", "n_shingles", F.coalesce("component", "leader", "id").alias("component_id"))
     out = out.withColumn("kept", F.col("id").isNull() | (F.col("id") == F.col("component_id")))

@@ -7,7 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Ids up to which a wanted set is broadcast instead of shuffling whole texts.
+MOST_BROADCAST = 1_000_000
 _roots: dict[str, str] = {}
 
 
@@ -63,3 +66,8 @@ class Scratch:
             files = df.inputFiles()
             if files:
                 remove(self.spark, files[0].rsplit("/", 1)[0])
+
+
+def semi_join(big: DataFrame, wanted: DataFrame, key: str, most: int = MOST_BROADCAST) -> DataFrame:
+    """Rows of big whose key is wanted; wanted (written, distinct) is broadcast only if it has at most `most` rows."""
+    return big.join(F.broadcast(wanted) if wanted.count() <= most else wanted, key, "left_semi")
