@@ -3,15 +3,16 @@ Jaccard confirmation, components by joins; one line of each component stays."""
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .links import link
-from .scratch import Scratch, semi_join
+from .scratch import MOST_BROADCAST, Scratch, semi_join
 
-#: Each of the hash functions gives two signature values, its least and its greatest; 10 bands of 4 rows miss a pair
-#: of similarity 0.8 five times in a thousand and one of 0.9 twice in a hundred thousand.
-HASHES, BANDS, ROWS = 20, 10, 4
+#: 12 bands of 4 values miss a pair of similarity 0.8 twice in a thousand and one of 0.9 three times in a million.
+BANDS, ROWS = 12, 4
 #: A shingle is up to 12 characters; shingles begin at every word of at most 8 letters (longer words in steps of 8,
 #: punctuation in runs), and at every character of scripts without such words.
 _LETTER, _MARK = "A-Za-z0-9À-ɏͰ-ԯ", " -/:-@\\[-`{-~"
@@ -24,6 +25,10 @@ def _shingles(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1))
 
 
+def _set(line: Column) -> Column:
+    return F.array_distinct(F.transform(_shingles(line), lambda s: F.xxhash64(s)))
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line) of every line that is not blank, trimmed; id tells document and line number."""
     doc = F.col(id_col).cast("long")
@@ -38,13 +43,20 @@ def removed_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     lines = lines_of(docs, id_col, text_col)
     keyed = lines.select("id", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), "line")
 
-    # equal lines meet in one aggregation that also gives their signature
-    hashed = keyed.select("id", "k1", "k2", F.explode(_shingles(F.col("line"))).alias("shingle")).select("id", "k1", "k2", F.xxhash64("shingle").alias("h"))
-    rehash = [F.xxhash64("h", F.lit(k)) for k in range(HASHES)]
-    mins = [f(h).alias(f"{f.__name__}{k}") for k, h in enumerate(rehash) for f in (F.min, F.max)]
-    values = [F.col(f"{f}{k}") for k in range(HASHES) for f in ("min", "max")]
-    bands = F.array(*[F.xxhash64(F.lit(b), *values[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)])
-    kinds = scratch.cut(hashed.groupBy("k1", "k2").agg(F.min("id").alias("first"), *mins).select("k1", "k2", "first", bands.alias("bands")), "kinds")
+    # MinHash by shifts of one hash: the value of a shift is the first hash at or after a fixed point, the points lying
+    # evenly on the circle of hashes. Points and hashes are sorted together; what a point's place tells is how many
+    # hashes lie before it. Equal lines then meet in one aggregation.
+    count = BANDS * ROWS
+    order = random.Random(17).sample(range(count), count)  # points of a band lie anywhere
+    points = [-(2**63) + (2 * k + 1) * 2**63 // count for k in range(count)]
+    hashed = keyed.select("id", "k1", "k2", _set(F.col("line")).alias("x")).select("id", "k1", "k2", F.sort_array("x").alias("x"))
+    placed = hashed.select("id", "k1", "k2", "x", F.sort_array(F.concat("x", F.array(*[F.lit(c).cast("long") for c in points]))).alias("s"), F.size("x").alias("size"))
+    values = [F.get(F.col("x"), F.pmod(F.array_position("s", F.lit(c).cast("long")) - (k + 1), F.col("size")).cast("int")) for k, c in enumerate(points)]
+    bands = [F.xxhash64(F.lit(b), *[values[k] for k in order[b::BANDS]]).alias(f"b{b}") for b in range(BANDS)]
+    signed = placed.select("id", "k1", "k2", "size", *bands)
+    names = [f"b{b}" for b in range(BANDS)]
+    kinds = signed.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.min("size").alias("size"), *[F.min(n).alias(n) for n in names])
+    kinds = scratch.cut(kinds, "kinds")
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = scratch.cut(pairs, "pairs")
@@ -52,7 +64,7 @@ def removed_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         owners = scratch.cut(wanted.select(F.floor(F.col("id") / F.lit(LINES)).cast("long").alias("_owner")).distinct(), "owners")
         some = semi_join(docs.select(F.col(id_col).cast("long").alias("_owner"), F.col(text_col).alias("_text")), owners, "_owner")
         texts = semi_join(lines_of(some, "_owner", "_text"), wanted, "id").dropDuplicates(["id"])
-        sets = scratch.cut(texts.select("id", F.array_distinct(F.transform(_shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("x")), "sets")
+        sets = scratch.cut(texts.select("id", _set(F.col("line")).alias("x")), "sets")
         full = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
         both, total = F.size(F.array_intersect("xa", "xb")), F.size("xa") + F.size("xb")
         fits = (F.least(F.size("xa"), F.size("xb")) * 100 >= F.greatest(F.size("xa"), F.size("xb")) * percent) & (both * 100 >= (total - both) * percent)
@@ -60,7 +72,7 @@ def removed_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         scratch.drop(pairs, wanted, owners, sets)
         return found
 
-    label = link(kinds.select(F.explode("bands").alias("bucket"), F.col("first").alias("id"), F.lit(1).alias("size")), verify, scratch, percent)
+    label = link(kinds.select(F.explode(F.array(*names)).alias("bucket"), F.col("first").alias("id"), "size"), verify, scratch, percent)
     kept = kinds.select("k1", "k2", "first").join(label.select(F.col("id").alias("first"), "component"), "first", "left")
     kept = kept.select("k1", "k2", F.coalesce("component", "first").alias("stays"))
     gone = keyed.select("id", "k1", "k2").join(kept, ["k1", "k2"]).where("id <> stays").select("id")
@@ -80,7 +92,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     gone = removed_lines(spark, docs, id_col, text_col, percent)
     src = docs.drop("n_lines", "n_removed")
     own = src.columns
-    joined = src.join(gone.select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone")).hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("_doc"), "left")
+    side = gone.select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone"))
+    lost = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
+    joined = src.join(F.broadcast(side) if lost <= MOST_BROADCAST else side.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("_doc"), "left")
     parts = F.split(F.col(text_col).cast("string"), "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
     less = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")

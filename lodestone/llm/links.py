@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .scratch import Scratch
+from .scratch import Scratch, small_side
 
 #: Members from which an open bucket counts as large, and the rows of a block.
 LARGE, BLOCK = 48, 192
@@ -25,9 +25,12 @@ def _alike(a: str, b: str, percent: int) -> Column:
 
 
 def shared_buckets(buckets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(bucket, id, size, leader, lsize) of the buckets with at least two ids."""
-    least = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("_most"), F.min_by("size", "id").alias("lsize")).where("leader < _most").drop("_most")
-    return scratch.cut(buckets.join(least, "bucket").select("bucket", "id", "size", "leader", "lsize"), "buckets")
+    """(bucket, id, size, leader) of the buckets with at least two ids, the leader being the least."""
+    least = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("_most")).where("leader < _most").drop("_most")
+    least = scratch.cut(least, "leaders")
+    out = scratch.cut(buckets.join(small_side(least), "bucket").select("bucket", "id", "size", "leader"), "buckets")
+    scratch.drop(least)
+    return out
 
 
 def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, percent: int, blocks: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -37,7 +40,7 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch:
     those that hold. blocks takes (key1, key2, key3, side, id, component), where the rows of one key are to be compared
     side 0 with side 1, and returns the links (a, b) that hold; without it large buckets go through the join too."""
     shared = shared_buckets(buckets, scratch)
-    first = shared.where("id > leader").where(_alike("size", "lsize", percent)).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    first = shared.where("id > leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     edges = scratch.cut(verify(first), "edges")
     label = components(edges, scratch)
 

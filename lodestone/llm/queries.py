@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: A SentencePiece BPE model with byte fallback; any other path may be given.
+MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,6 +55,18 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages"), [Rule(*x) for x in RULES])
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+
+    return find_pii(spark, _table(spark, sf_dir, "documents"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    from .pieces import encode_documents
+
+    return encode_documents(spark, _table(spark, sf_dir, "documents"), model_path or MODEL_PATH)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_line_dedup": op3_line_dedup,
@@ -59,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_url_filters": op7_url_filters,
+    "op9_pii": op9_pii,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 OP5_SQL = """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -66,8 +67,16 @@ class Scratch:
             files = df.inputFiles()
             if files:
                 remove(self.spark, files[0].rsplit("/", 1)[0])
+        # shuffle files go when the driver forgets the plans that made them
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+
+def small_side(table: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """A written table, marked for broadcast only if it has at most `most` rows."""
+    return F.broadcast(table) if table.count() <= most else table
 
 
 def semi_join(big: DataFrame, wanted: DataFrame, key: str, most: int = MOST_BROADCAST) -> DataFrame:
-    """Rows of big whose key is wanted; wanted (written, distinct) is broadcast only if it has at most `most` rows."""
-    return big.join(F.broadcast(wanted) if wanted.count() <= most else wanted, key, "left_semi")
+    """Rows of big whose key is in wanted, a written table of distinct keys."""
+    return big.join(small_side(wanted, most), key, "left_semi")
