@@ -24,6 +24,12 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(spark, _table(spark, sf_dir, "embeddings"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import leaks
 
@@ -55,6 +61,12 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages"), [Rule(*x) for x in RULES])
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score
+
+    return score(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_pii
 
@@ -68,12 +80,14 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_html_extraction": op4_html_extraction,
     "op5_warc": op5_warc,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_url_filters": op7_url_filters,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_pii": op9_pii,
     "op10_sentencepiece": op10_sentencepiece,
 }
