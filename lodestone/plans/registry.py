@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import search
+from . import curation, entities, search
 
-_ALL = search.QUERIES
+_ALL = search.QUERIES | entities.QUERIES | curation.QUERIES
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLES = {name: sql for name, (_, sql) in _ALL.items() if sql}
