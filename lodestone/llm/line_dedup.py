@@ -13,10 +13,9 @@ from .scratch import MOST_BROADCAST, Scratch, semi_join
 
 #: 12 bands of 4 values miss a pair of similarity 0.8 twice in a thousand and one of 0.9 three times in a million.
 BANDS, ROWS = 12, 4
-#: A shingle is up to 12 characters; shingles begin at every word of at most 8 letters (longer words in steps of 8,
-#: punctuation in runs), and at every character of scripts without such words.
-_LETTER, _MARK = "A-Za-z0-9À-ɏͰ-ԯ", " -/:-@\\[-`{-~"
-SHINGLE = f"(?s)(?=(.{{1,12}}))(?:[{_LETTER}]{{1,8}}[{_MARK}]{{0,8}}|[{_MARK}]{{1,8}}|.)"
+#: A shingle is up to 12 characters; shingles begin at every word (long ones in steps of 8 characters) in scripts that
+#: part words by spaces, at every character in others.
+SHINGLE = "(?s)(?=(.{1,12}))(?:[!-\u0dff]{1,8}+ ?+|.)"
 #: Lines a document may have; a line's id is document * LINES + number.
 LINES = 1 << 24
 
@@ -43,20 +42,18 @@ def removed_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     lines = lines_of(docs, id_col, text_col)
     keyed = lines.select("id", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), "line")
 
-    # MinHash by shifts of one hash: the value of a shift is the first hash at or after a fixed point, the points lying
-    # evenly on the circle of hashes. Points and hashes are sorted together; what a point's place tells is how many
-    # hashes lie before it. Equal lines then meet in one aggregation.
-    count = BANDS * ROWS
-    order = random.Random(17).sample(range(count), count)  # points of a band lie anywhere
-    points = [-(2**63) + (2 * k + 1) * 2**63 // count for k in range(count)]
-    hashed = keyed.select("id", "k1", "k2", _set(F.col("line")).alias("x")).select("id", "k1", "k2", F.sort_array("x").alias("x"))
-    placed = hashed.select("id", "k1", "k2", "x", F.sort_array(F.concat("x", F.array(*[F.lit(c).cast("long") for c in points]))).alias("s"), F.size("x").alias("size"))
-    values = [F.get(F.col("x"), F.pmod(F.array_position("s", F.lit(c).cast("long")) - (k + 1), F.col("size")).cast("int")) for k, c in enumerate(points)]
-    bands = [F.xxhash64(F.lit(b), *[values[k] for k in order[b::BANDS]]).alias(f"b{b}") for b in range(BANDS)]
-    signed = placed.select("id", "k1", "k2", "size", *bands)
-    names = [f"b{b}" for b in range(BANDS)]
-    kinds = signed.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.min("size").alias("size"), *[F.min(n).alias(n) for n in names])
-    kinds = scratch.cut(kinds, "kinds")
+    # MinHash by one hash seen from several points: the value of a point is the least hash xor point, and the greatest
+    # is the least seen from the opposite point. Equal lines meet in the same aggregation; what it keeps of a line is
+    # its band keys.
+    hashed = keyed.select("id", "k1", "k2", F.explode(_shingles(F.col("line"))).alias("s")).select("id", "k1", "k2", F.xxhash64("s").alias("h"))
+    draw = random.Random(17)
+    points = [draw.getrandbits(64) - 2**63 for _ in range(BANDS * ROWS // 2)]
+    seen = [F.col("h").bitwiseXOR(F.lit(c).cast("long")) for c in points]
+    signed = hashed.groupBy("k1", "k2").agg(F.min("id").alias("first"), *[f(x).alias(f"{f.__name__}{i}") for f in (F.min, F.max) for i, x in enumerate(seen)])
+    values = [F.col(f"{f}{i}") for f in ("min", "max") for i in range(len(points))]
+    bands = F.array(*[F.xxhash64(F.lit(b), *values[b::BANDS]) for b in range(BANDS)])
+    kinds = scratch.cut(signed.select("k1", "k2", "first", bands.alias("bands")), "kinds")
+    scratch.release()
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = scratch.cut(pairs, "pairs")
@@ -72,7 +69,7 @@ def removed_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         scratch.drop(pairs, wanted, owners, sets)
         return found
 
-    label = link(kinds.select(F.explode(F.array(*names)).alias("bucket"), F.col("first").alias("id"), "size"), verify, scratch, percent)
+    label = link(kinds.select(F.explode("bands").alias("bucket"), F.col("first").alias("id"), F.lit(1).alias("size")), verify, scratch, percent)
     kept = kinds.select("k1", "k2", "first").join(label.select(F.col("id").alias("first"), "component"), "first", "left")
     kept = kept.select("k1", "k2", F.coalesce("component", "first").alias("stays"))
     gone = keyed.select("id", "k1", "k2").join(kept, ["k1", "k2"]).where("id <> stays").select("id")

@@ -67,7 +67,10 @@ class Scratch:
             files = df.inputFiles()
             if files:
                 remove(self.spark, files[0].rsplit("/", 1)[0])
-        # shuffle files go when the driver forgets the plans that made them
+        self.release()
+
+    def release(self) -> None:
+        """Shuffle files go when the driver forgets the plans that made them; this makes it forget now."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
