@@ -129,7 +129,7 @@ def merge_annotations(rows: DataFrame, adjudicated: DataFrame) -> DataFrame:
 
 def validate(rows: DataFrame, labels: list[str]) -> DataFrame:
     """(code, n) of faults of spans in rows (id, text, entities)."""
-    flat = rows.select("id", "text", F.posexplode("entities").alias("i", "e")).select("id", "text", "i", "e.*", F.col("e.text").alias("surface"))
+    flat = rows.select("id", "text", F.posexplode("entities").alias("i", "e")).select("id", "text", "i", "e.start", "e.end", "e.label", F.col("e.text").alias("surface"))
     w = W.partitionBy("id").orderBy("start", "end", "i")
     ahead = flat.withColumn("_end", F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))).withColumn("_same", F.count("*").over(W.partitionBy("id", "start", "end", "label")))
     code = (
