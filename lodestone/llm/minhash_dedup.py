@@ -208,7 +208,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
     label = link(leads.select(F.explode("bands").alias("bucket"), "id", "size"), verify, scratch, percent, blocks)
     out = member.join(label.withColumnRenamed("id", "leader"), "leader", "left")
-    out = out.select("id", "n_shingles", F.coalesce("component", "leader", "id").alias("component_id"))
+    out = out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "leader", "id")).alias("component_id"))
     out = out.withColumn("kept", F.col("id").isNull() | (F.col("id") == F.col("component_id")))
     return out.withColumnRenamed("id", id_col)
 
