@@ -22,16 +22,16 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     for _ in range(most_rounds):
         # least label among the neighbours of each node, and the same told to the node's present root
         near = both.join(label.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        told = label.join(near, "id").select("id", "component", F.least("near", "component").alias("least"))
-        told = told.select("id", "least").union(told.where("least < component").select(F.col("component").alias("id"), "least")).groupBy("id").agg(F.min("least").alias("least"))
+        own = label.join(near, "id").select("id", F.least("near", "component").alias("least"), "component")
+        told = own.where("least < component").select(F.col("component").alias("id"), "least", F.lit(None).cast("long").alias("component"))
+        told = own.union(told).groupBy("id").agg(F.min("least").alias("least"), F.max("component").alias("before"))
         # a label's own label
         jump = told.select(F.col("id").alias("least"), F.col("least").alias("next"))
-        moved = told.join(jump, "least", "left").select("id", F.coalesce("next", "least").alias("component"))
+        moved = told.join(jump, "least", "left").select("id", F.coalesce("next", "least").alias("component"), "before")
         new = scratch.cut(moved, "label")
-        changed = new.join(label.withColumnRenamed("component", "before"), "id").where("component <> before").limit(1).count()
         scratch.drop(label)
-        label = new
-        if not changed:
+        label = new.select("id", "component")
+        if not new.where("component <> before").limit(1).count():
             scratch.drop(both)
             return label
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

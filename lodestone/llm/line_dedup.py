@@ -89,15 +89,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     gone = removed_lines(spark, docs, id_col, text_col, percent)
     src = docs.drop("n_lines", "n_removed")
     own = src.columns
-    side = gone.select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone"))
+    doc, lost_lines = (next(n for n in (f"{x}{i}" for i in range(10**6)) if n not in {c.lower() for c in own}) for x in ("_doc", "_gone"))
+    side = gone.select(F.col("doc").alias(doc), F.col("gone").alias(lost_lines))
     lost = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
-    joined = src.join(F.broadcast(side) if lost <= MOST_BROADCAST else side.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("_doc"), "left")
+    joined = src.join(F.broadcast(side) if lost <= MOST_BROADCAST else side.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col(doc), "left")
     parts = F.split(F.col(text_col).cast("string"), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(lost_lines))
     less = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
     n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(F.filter(parts, lambda x: F.trim(x) != "")))
     return joined.select(
-        *[F.when(F.col("_gone").isNull(), F.col(c)).otherwise(less).alias(c) if c == text_col else F.col(c) for c in own],
+        *[F.when(F.col(lost_lines).isNull(), F.col(c)).otherwise(less).alias(c) if c == text_col else F.col(c) for c in own],
         n_lines.cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size(lost_lines), F.lit(0)).cast("long").alias("n_removed"),
     )

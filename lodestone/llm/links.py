@@ -55,6 +55,8 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch:
     # another leader: the member whose hash with the bucket is least
     still = open_buckets(shared)
     scratch.drop(shared)
+    if not still.limit(1).count():
+        return label
     order = F.xxhash64("bucket", "id")
     other = still.groupBy("bucket").agg(F.min_by(F.struct("id", "component", "size"), order).alias("l"))
     second = still.join(other, "bucket").select("id", "component", "size", F.col("l.id").alias("leader"), F.col("l.component").alias("leads"), F.col("l.size").alias("lsize"))
@@ -65,6 +67,8 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch:
     # what is left: pairs of one bucket in different components
     rest = open_buckets(still)
     scratch.drop(still)
+    if not rest.limit(1).count():
+        return label
     small = rest.where(F.col("members") < LARGE) if blocks else rest
     left = small.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("size").alias("sa"))
     right = small.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"))
