@@ -24,28 +24,30 @@ def _alike(a: str, b: str, percent: int) -> Column:
     return F.least(F.col(a), F.col(b)) * 100 >= F.greatest(F.col(a), F.col(b)) * percent
 
 
-def shared_buckets(buckets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(bucket, id, size, leader) of the buckets with at least two ids, the leader being the least."""
+def shared_buckets(buckets: DataFrame, scratch: Scratch, more: list[str]) -> DataFrame:
+    """(bucket, id, size, leader, more columns) of the buckets with at least two ids, the leader being the least."""
     least = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("_most")).where("leader < _most").drop("_most")
     least = scratch.cut(least, "leaders")
-    out = scratch.cut(buckets.join(small_side(least), "bucket").select("bucket", "id", "size", "leader"), "buckets")
+    out = scratch.cut(buckets.join(small_side(least), "bucket").select("bucket", "id", "size", "leader", *more), "buckets")
     scratch.drop(least)
     return out
 
 
-def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, percent: int, blocks: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, percent: int, blocks: Callable[[DataFrame], DataFrame] | None = None, near: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(id, component) of the ids that have a link which holds.
 
     buckets (bucket long, id long, size), each pair of bucket and id once; verify takes (a, b), a < b, and returns
     those that hold. blocks takes (key1, key2, key3, side, id, component), where the rows of one key are to be compared
-    side 0 with side 1, and returns the links (a, b) that hold; without it large buckets go through the join too."""
-    shared = shared_buckets(buckets, scratch)
+    side 0 with side 1, and returns the links (a, b) that hold; without it large buckets go through the join too. near takes the `sketch` columns of a pair and tells whether it is
+    worth verifying; with it buckets carry such a column."""
+    more = ["sketch"] if near else []
+    shared = shared_buckets(buckets, scratch, more)
     first = shared.where("id > leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     edges = scratch.cut(verify(first), "edges")
     label = components(edges, scratch)
 
     def open_buckets(rows: DataFrame) -> DataFrame:
-        known = rows.select("bucket", "id", "size").join(label, "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("component"))
+        known = rows.select("bucket", "id", "size", *more).join(label, "id", "left").select("bucket", "id", "size", *more, F.coalesce("component", "id").alias("component"))
         known = scratch.cut(known, "known")
         several = known.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("members")).where("_lo < _hi")
         out = scratch.cut(known.join(several.select("bucket", "members"), "bucket"), "open")
@@ -70,9 +72,12 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch:
     if not rest.limit(1).count():
         return label
     small = rest.where(F.col("members") < LARGE) if blocks else rest
-    left = small.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("size").alias("sa"))
-    right = small.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"))
-    third = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike("sa", "sb", percent)).select("a", "b").distinct()
+    left = small.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("size").alias("sa"), *[F.col(c).alias("xa") for c in more])
+    right = small.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"), *[F.col(c).alias("xb") for c in more])
+    worth = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike("sa", "sb", percent)
+    if near:
+        worth = worth & near(F.col("xa"), F.col("xb"))
+    third = left.join(right, (left["bucket"] == right["bucket"]) & worth).select("a", "b").distinct()
     edges = edges.union(verify(third))
     if blocks:
         edges = edges.union(blocks(_blocks(rest.where(F.col("members") >= LARGE))))
