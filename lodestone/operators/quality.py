@@ -180,3 +180,10 @@ def crf_marginals(emissions: list[list[float]], transitions: list[list[float]],
         b.insert(0, [total([transitions[i][j] + e[j] + b[0][j] for j in tags]) for i in tags])
     z = total([f[-1][j] + last[j] for j in tags])
     return [[math.exp(f[t][j] + b[t][j] - z) for j in tags] for t in range(n)]
+
+
+def compare(left: DataFrame, right: DataFrame, text: str = "text") -> DataFrame:
+    """(id, fault) of two annotators' files that should hold the same items: items of one side alone, texts that differ."""
+    both = left.select("id", F.col(text).alias("_l"), F.lit(True).alias("_hl")).join(right.select("id", F.col(text).alias("_r"), F.lit(True).alias("_hr")), "id", "full_outer")
+    fault = F.when(F.col("_hr").isNull(), "LEFT_ONLY").when(F.col("_hl").isNull(), "RIGHT_ONLY").when(~F.col("_l").eqNullSafe(F.col("_r")), "TEXT_MISMATCH")
+    return both.select("id", fault.alias("fault")).where("fault is not null")

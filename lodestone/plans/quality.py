@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import decode as D
 from ..operators import quality as Q
 from ..operators import weak_labels as L
 from ..sources.tables import table
@@ -185,7 +186,29 @@ PARITY = f"""WITH {_SPANS_SQL}, g AS (SELECT id, list({{'s': s, 'e': e, 'l': lab
 p AS (SELECT id, list({{'s': s, 'e': e, 'l': label}} ORDER BY s, e, label) AS r FROM pred WHERE id % 3 <> 0 GROUP BY id)
 SELECT count(*) AS items, round(avg(CASE WHEN l = r THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS mismatch_rate FROM g JOIN p USING (id)"""
 
+def compare_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    other = d.where("id % 7 <> 0").withColumn("text", F.when(F.col("id") % 5 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    return Q.compare(d.where("id % 11 <> 0"), other).groupBy("fault").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+COMPARE = """WITH l AS (SELECT doc_id AS id, text FROM documents WHERE doc_id % 11 <> 0), r AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN text || '.' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0),
+f AS (SELECT coalesce(l.id, r.id) AS id, CASE WHEN r.id IS NULL THEN 'LEFT_ONLY' WHEN l.id IS NULL THEN 'RIGHT_ONLY' WHEN l.text <> r.text THEN 'TEXT_MISMATCH' END AS fault FROM l FULL JOIN r ON l.id = r.id)
+SELECT fault, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM f WHERE fault IS NOT NULL GROUP BY fault"""
+
+
+def project_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of the characters of part names under their gold spans."""
+    spans = gold(spark, sf_dir).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("spans"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")).join(spans, "id")
+    return rows.withColumn("tokens", D.characters(F.col("text"))).select("id", F.array_join(D.tags(F.col("tokens"), F.col("spans")), " ").alias("tags"))
+
+
+TAGS = f"""WITH {_SPANS_SQL}, x AS (SELECT id, string_agg('B-' || label || repeat(' I-' || label, CAST(e - s - 1 AS INT)), ' ' ORDER BY s) AS tags FROM gold GROUP BY id) SELECT id, tags FROM x"""
+
 QUERIES = {
+    "compare_annotations": (compare_annotations, COMPARE),
+    "project_tags": (project_tags, TAGS),
     "span_prf": (span_prf, SPAN_PRF),
     "confusion": (confusion, CONFUSION),
     "error_taxonomy": (error_taxonomy, ERRORS),
