@@ -130,19 +130,10 @@ def fit_view(x: np.ndarray, y: np.ndarray, held_x: np.ndarray, held_y: np.ndarra
     return view
 
 
-def choose_words(hashes: np.ndarray, owner: np.ndarray, y: np.ndarray, most: int = FEATURES) -> np.ndarray:
-    """Sorted hashes of the words whose document counts part the classes most surely (z of the log odds, over 3.5)."""
-    if not len(hashes):
-        return np.zeros(0, U64)
-    names, back = np.unique(hashes, return_inverse=True)
-    pos = np.bincount(back, weights=y[owner], minlength=len(names))
-    total = np.bincount(back, minlength=len(names))
-    n_pos, n_neg = y.sum(), len(y) - y.sum()
-    a, b = pos + 0.1, total - pos + 0.1 * n_neg / max(n_pos, 1)
-    z = (np.log(a / (n_pos - pos + 1)) - np.log(b / (n_neg - (total - pos) + 1))) / np.sqrt(1 / a + 1 / b)
-    z[total < 5] = 0
-    best = np.argsort(-np.abs(z), kind="stable")[:most]
-    return np.sort(names[best[np.abs(z[best]) > 3.5]])
+def word_strength(pos, total, n_pos: float, n_neg: float):
+    """z of the log odds of a word's document counts in the two classes, as an expression."""
+    a, b = pos + 0.1, total - pos + 0.1 * n_neg / max(n_pos, 1.0)
+    return (F.log(a / (n_pos - pos + 1)) - F.log(b / (n_neg - (total - pos) + 1))) / F.sqrt(1 / a + 1 / b)
 
 
 def presence(hashes: np.ndarray, off: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -170,31 +161,19 @@ class CoTrained:
         return _sigmoid(np.stack([t, self.meta.logit(meta), np.ones(len(t))], 1) @ self.joint)
 
 
-@dataclass
-class Sample:
-    dense: np.ndarray
-    hashes: np.ndarray
-    off: np.ndarray
-    meta: np.ndarray
-
-    @property
-    def owner(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.off) - 1), np.diff(self.off))
+def co_train(vocabulary: np.ndarray, known: tuple[np.ndarray, np.ndarray], y: np.ndarray, unknown: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> CoTrained:
+    """Models from (text columns, metadata columns) of labelled and unlabelled rows.
 
-
-def co_train(known: Sample, y: np.ndarray, unknown: Sample, rounds: int = ROUNDS) -> CoTrained:
-    """Each round both views are fitted and calibrated; each then gives the unlabelled rows that it is sure of, at most a
+    Each round both views are fitted and calibrated; each then gives the unlabelled rows that it is sure of, at most a
     tenth of them a round, to the other with its label. A fifth of the labelled rows is held out for calibration."""
     y = y.astype(float)
     held = np.arange(len(y)) % 5 == 4
     if len(y) < 50:
         held[:] = False
     train = ~held
-    vocabulary = choose_words(known.hashes, known.owner, y)
-    xt, xm = np.hstack([known.dense, presence(known.hashes, known.off, vocabulary)]), known.meta
-    ut, um = np.hstack([unknown.dense, presence(unknown.hashes, unknown.off, vocabulary)]), unknown.meta
+    (xt, xm), (ut, um) = known, unknown
     check = held if held.any() else train
-    taught = {"text": {}, "meta": {}}
+    taught: dict[str, dict[int, float]] = {"text": {}, "meta": {}}
 
     def fitted(x: np.ndarray, u: np.ndarray, extra: dict[int, float]) -> View:
         rows = sorted(extra)
@@ -224,23 +203,34 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             dense, hashes, at = text_features(data[off[a] : off[b]], off[a : b + 1] - off[a])
             hashes, at = K.distinct(hashes, at)
             meta = metadata_features(*(batch.column(i).slice(a, b - a).to_pylist() for i in (2, 3, 4)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), K.binary_rows(dense), K.binary_segments(hashes, at), K.binary_rows(meta)], ["id", "dense", "hashes", "meta"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), K.binary_rows(dense), K.list_of(hashes, at), K.binary_rows(meta.astype(np.uint8))], ["id", "dense", "hashes", "meta"])
 
 
-def _gathered(rows: DataFrame) -> tuple[list, Sample]:
-    got = sorted(rows.mapInArrow(_sampled, "id long, dense binary, hashes binary, meta binary").collect(), key=lambda r: (r.id, bytes(r.hashes)))
-    sizes = [len(r.hashes) // 8 for r in got]
-    sample = Sample(
-        np.frombuffer(b"".join(r.dense for r in got)).reshape(len(got), len(DENSE)),
-        np.frombuffer(b"".join(r.hashes for r in got), U64),
-        np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64),
-        np.frombuffer(b"".join(r.meta for r in got)).reshape(len(got), 52),
-    )
-    return [r.id for r in got], sample
+def _gathered(rows: DataFrame, vocabulary: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
+    """Ids, text columns and metadata columns of sampled rows; a row comes to the driver as bits of its chosen words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                lists = batch.column(2)
+                hashes = np.asarray(lists.flatten(), np.int64).view(U64)
+                has = presence(hashes, np.asarray(lists.offsets, np.int64) - lists.offsets[0].as_py(), vocabulary)
+                bits = np.packbits(has.astype(bool), axis=1) if len(vocabulary) else np.zeros((batch.num_rows, 1), np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), K.binary_rows(bits), batch.column(3)], ["id", "dense", "bits", "meta"])
+
+    got = sorted(rows.mapInArrow(run, "id long, dense binary, bits binary, meta binary").collect(), key=lambda r: r.id)
+    n = len(got)
+    dense = np.frombuffer(b"".join(r.dense for r in got)).reshape(n, len(DENSE))
+    bits = np.frombuffer(b"".join(r.bits for r in got), np.uint8).reshape(n, -1) if n else np.zeros((0, 1), np.uint8)
+    words = np.unpackbits(bits, axis=1)[:, : len(vocabulary)].astype(float) if len(vocabulary) else np.zeros((n, 0))
+    meta = np.frombuffer(b"".join(r.meta for r in got), np.uint8).reshape(n, 52).astype(float)
+    return [r.id for r in got], np.hstack([dense, words]), meta
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> dict[str, CoTrained]:
-    """Models of poor quality and of toxicity from bounded samples, drawn by a hash of the id."""
+    """Models of poor quality and of toxicity from bounded samples, drawn by a hash of the id.
+
+    Words are counted and chosen by Spark: those whose document counts part the classes most surely (z over 3.5)."""
     scratch = Scratch(spark, "quality")
     src = _source(docs)
     marks = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
@@ -251,11 +241,22 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled: int =
     known = {r.id: (r.quality, r.toxic) for r in drawn.collect()}
     if not known:
         return {}
-    ids, sample = _gathered(semi_join(src, drawn.select("id"), "id").dropDuplicates(["id"]))
-    _, rest = _gathered(semi_join(src, loose, "id").dropDuplicates(["id"]))
-    scratch.drop(drawn, loose)
-    poor, toxic = (np.array([f(known[i]) for i in ids]) for f in (lambda m: m[0] == 0, lambda m: m[1] == 1))
-    return {"poor": co_train(sample, poor, rest), "toxic": co_train(sample, toxic, rest)}
+    sampled = lambda ids: semi_join(src, ids, "id").dropDuplicates(["id"]).mapInArrow(_sampled, "id long, dense binary, hashes array<long>, meta binary")
+    sample, rest = scratch.cut(sampled(drawn.select("id")), "sample"), scratch.cut(sampled(loose), "rest")
+    flags = drawn.select("id", (F.col("quality") == 0).cast("long").alias("poor"), (F.col("toxic") == 1).cast("long").alias("toxic"))
+    counts = sample.select("id", F.explode("hashes").alias("h")).join(F.broadcast(flags), "id").groupBy("h").agg(F.count("*").alias("n"), F.sum("poor").alias("poor"), F.sum("toxic").alias("toxic"))
+    counts = scratch.cut(counts.where("n >= 5"), "counts")
+    models = {}
+    for name, is_bad in (("poor", lambda m: m[0] == 0), ("toxic", lambda m: m[1] == 1)):
+        n_pos = float(sum(map(is_bad, known.values())))
+        strength = F.abs(word_strength(F.col(name).cast("double"), F.col("n").cast("double"), n_pos, len(known) - n_pos))
+        chosen = counts.select("h", strength.alias("z")).where("z > 3.5").orderBy(F.desc("z"), "h").limit(FEATURES).collect()
+        vocabulary = np.sort(np.array([r.h for r in chosen], np.int64).view(U64))
+        ids, text, meta = _gathered(sample, vocabulary)
+        _, more_text, more_meta = _gathered(rest, vocabulary)
+        models[name] = co_train(vocabulary, (text, meta), np.array([is_bad(known[i]) for i in ids]), (more_text, more_meta))
+    scratch.drop(drawn, loose, sample, rest, counts)
+    return models
 
 
 def _source(docs: DataFrame) -> DataFrame:
