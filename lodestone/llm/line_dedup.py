@@ -15,9 +15,11 @@ from .scratch import MOST_BROADCAST, Scratch, semi_join, small_side
 BANDS, ROWS = 10, 4
 #: Agreements of the 40 values under which a pair is not verified; one of similarity 0.8 has fewer once in ten thousand.
 AGREE = 22
-#: A shingle is up to 12 characters; shingles begin at every word (long ones in steps of 8 characters) in scripts that
-#: part words by spaces, at every character in others.
-SHINGLE = "(?s)(?=(.{1,12}))(?:[!-\u0dff]{1,8}+ ?+|.)"
+#: A shingle is 5 characters and begins at every character; a shorter line is its own shingle.
+WIDTH = 5
+SHINGLE = "(?s)(?=(.{5}|^.{1,4}))."
+#: Stretches that hold the shingles of 64 beginnings each, so that taking them apart is linear in a line's length.
+STRETCH = "(?s)(?=(.{5,68}|^.{1,4})).{1,64}"
 #: Lines a document may have; a line's id is document * LINES + number.
 LINE_BITS = 24
 LINES = 1 << LINE_BITS
@@ -27,6 +29,13 @@ def _shingles(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1))
 
 
+def _shingle_hashes(lines: DataFrame, *keys: str) -> DataFrame:
+    """(keys, h) of every shingle of the column line: what _set holds, a row each."""
+    parts = lines.select(*keys, F.explode(F.regexp_extract_all("line", F.lit(STRETCH), F.lit(1))).alias("part"))
+    spots = parts.select(*keys, "part", F.explode(F.sequence(F.lit(1), F.greatest(F.length("part") - (WIDTH - 1), F.lit(1)))).alias("at"))
+    return spots.select(*keys, F.xxhash64(F.substring(F.col("part"), F.col("at"), F.lit(WIDTH))).alias("h"))
+
+
 def _set(line: Column) -> Column:
     return F.array_distinct(F.transform(_shingles(line), lambda s: F.xxhash64(s)))
 
@@ -69,15 +78,14 @@ def removed_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     lines = lines_of(docs, id_col, text_col)
     keyed = lines.select("id", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), "line")
 
-    # MinHash by one hash seen from several points: the value of a point is the least hash xor point, and the greatest
-    # is the least seen from the opposite point. Equal lines meet in the same aggregation; what it keeps of a line is
-    # its band keys.
-    hashed = keyed.select("id", "k1", "k2", F.explode(_shingles(F.col("line"))).alias("s")).select("id", "k1", "k2", F.xxhash64("s").alias("h"))
+    # MinHash with a hash of its own for each value. Equal lines meet in the same aggregation; what it keeps of a line
+    # is its band keys.
+    hashed = _shingle_hashes(keyed, "id", "k1", "k2")
     draw = random.Random(17)
-    points = [draw.getrandbits(64) - 2**63 for _ in range(BANDS * ROWS // 2)]
-    seen = [F.col("h").bitwiseXOR(F.lit(c).cast("long")) for c in points]
-    signed = hashed.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.max("id").alias("last"), *[f(x).alias(f"{f.__name__}{i}") for f in (F.min, F.max) for i, x in enumerate(seen)])
-    values = [F.col(f"{f}{i}") for f in ("min", "max") for i in range(len(points))]
+    salts = [draw.getrandbits(64) - 2**63 for _ in range(BANDS * ROWS)]
+    seen = [F.xxhash64(F.col("h").bitwiseXOR(F.lit(c).cast("long"))) for c in salts]
+    signed = hashed.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.max("id").alias("last"), *[F.min(x).alias(f"min{i}") for i, x in enumerate(seen)])
+    values = [F.col(f"min{i}") for i in range(len(salts))]
     bands = F.array(*[F.xxhash64(F.lit(b), *values[b::BANDS]) for b in range(BANDS)])
     kinds = scratch.cut(signed.select("k1", "k2", "first", "last", bands.alias("bands"), _packed(values).alias("sketch")), "kinds")
     scratch.release()
@@ -88,12 +96,18 @@ def removed_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         owners = scratch.cut(wanted.select(F.shiftright("id", LINE_BITS).alias("_owner")).distinct(), "owners")
         some = semi_join(docs.select(F.col(id_col).cast("long").alias("_owner"), F.col(text_col).alias("_text")), owners, "_owner")
         texts = semi_join(lines_of(some, "_owner", "_text"), wanted, "id").dropDuplicates(["id"])
-        sets = scratch.cut(texts.select("id", _set(F.col("line")).alias("x")), "sets")
-        full = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
-        both, total = F.size(F.array_intersect("xa", "xb")), F.size("xa") + F.size("xb")
-        fits = (F.least(F.size("xa"), F.size("xb")) * 100 >= F.greatest(F.size("xa"), F.size("xb")) * percent) & (both * 100 >= (total - both) * percent)
+        # sets are many times their text, so the text is what joins move
+        texts = scratch.cut(texts.select("id", "line"), "texts")
+        full = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+
+        def reaches(s: Column) -> Column:
+            na, nb, both = F.size(s["xa"]), F.size(s["xb"]), F.size(F.array_intersect(s["xa"], s["xb"]))
+            return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (both * (100 + percent) >= (na + nb) * percent)
+
+        # bound by a lambda, each set is made once a pair however often it is read
+        fits = F.get(F.transform(F.array(F.struct(_set(F.col("ta")).alias("xa"), _set(F.col("tb")).alias("xb"))), reaches), F.lit(0))
         found = scratch.cut(full.where(fits).select("a", "b"), "confirmed")
-        scratch.drop(pairs, wanted, owners, sets)
+        scratch.drop(pairs, wanted, owners, texts)
         return found
 
     label = link(kinds.select(F.explode("bands").alias("bucket"), F.col("first").alias("id"), F.lit(1).alias("size"), "sketch"), verify, scratch, percent, near=lambda a, b: _agreements(a, b) >= AGREE)
