@@ -24,6 +24,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"\S+")
+#: Words of digits and marks standing side by side, the last one whole.
+_RUN = re.compile(r"(?<!\S)[+(\[]*[0-9][0-9()\[\]./+-]*(?: [(\[]*[0-9][0-9()\[\]./+-]*)+(?=[,;:!?'\"]*(?:\s|$))")
+#: Digits that one identifier may have.
+MOST_DIGITS = 19
 _DIGIT = re.compile(r"[0-9]")
 _NUMBER = re.compile(r"[0-9]+")
 #: Characters read on either side of an instance for its context.
@@ -92,26 +96,31 @@ def fits(kind: str, instance: str) -> bool:
     return digits >= (12 if kind == "card" else 7) and not any(c.isalpha() for c in instance)
 
 
+def _bare(text: str, start: int, end: int) -> Span:
+    """A span less the marks around it; a + and a bracket that closes inside stay."""
+    while end > start and not text[end - 1].isalnum():
+        end -= 1
+    while start < end and not text[start].isalnum() and text[start] != "+" and not (text[start] == "(" and text.find(")", start, end) > 0):
+        start += 1
+    return start, end
+
+
 def instances(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[str | None, int, int]]:
-    """Base spans, and words with an @ or at least four digits that no base span touches, less the marks around them."""
+    """Base spans, and words with an @ or at least four digits and runs of number words that no base span touches, less
+    the marks around them. A run and a word of it both count; runs longer than an identifier go by their words."""
     yield from base
     if "@" not in text and not _DIGIT.search(text):
         return
+    words = [m.span() for m in _WORD.finditer(text) if "@" in m.group() or len(_DIGIT.findall(m.group())) >= 4]
+    runs = [m.span() for m in _RUN.finditer(text) if len(_DIGIT.findall(m.group())) <= MOST_DIGITS]
     taken = sorted((s, e) for _, s, e in base)
     i = 0
-    for m in _WORD.finditer(text):
-        word = m.group()
-        if "@" not in word and len(_DIGIT.findall(word)) < 4:
-            continue
-        start, end = m.span()
+    for start, end in sorted(words + runs):
         while i < len(taken) and taken[i][1] <= start:
             i += 1
         if any(s < end for s, _ in taken[i : i + 1]):
             continue
-        while start < end and not text[start].isalnum() and text[start] != "+":
-            start += 1
-        while end > start and not text[end - 1].isalnum():
-            end -= 1
+        start, end = _bare(text, start, end)
         if end - start >= 5 and any(fits(k, text[start:end]) for k in KINDS):
             yield None, start, end
 
@@ -172,23 +181,24 @@ def bootstrap(graph: DataFrame, scratch: Scratch, rounds: int, sure: float, supp
     """(value, kind, score) of instances that the forms did not find, from edges (pattern, value, kind or null).
 
     Each round: the confidence of a pattern for a kind is the summed score of that kind's instances over all distinct
-    instances it extracts, if `support` or more of them are known; an unknown instance scores 1 less the product of
-    (1 - confidence) over its patterns; those at or over `sure` count as known in the next round."""
+    instances it extracts, if `support` or more of them are known, by their form or since an earlier round; an unknown
+    instance scores 1 less the product of (1 - confidence) over its patterns; those at or over `sure` count as known in
+    the next round."""
     edges = scratch.cut(graph.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "edges")
     known = edges.where("kind is not null").select("value", "kind", F.lit(1.0).alias("score")).distinct()
-    extracted = scratch.cut(edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count("kind").alias("seeds")).where(f"seeds >= {support}"), "extracted")
-    loose = scratch.cut(edges.where("kind is null").join(small_side(extracted.select("pattern")), "pattern", "left_semi").select("pattern", "value"), "loose")
-    useful = scratch.cut(edges.join(small_side(extracted.select("pattern")), "pattern", "left_semi").select("pattern", "value"), "useful")
+    # a pattern of fewer instances than `support` never has that many known ones
+    extracted = scratch.cut(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(f"n >= {support}"), "extracted")
+    useful = scratch.cut(edges.join(small_side(extracted.select("pattern")), "pattern", "left_semi"), "useful")
     found = None
     for _ in range(rounds):
-        now = known if found is None else known.union(found)
-        held = useful.join(now, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count("*").alias("hits"))
+        now = known if found is None else known.union(found.join(known, "value", "left_anti"))
+        held = useful.select("pattern", "value").join(now, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count("*").alias("hits"))
         good = held.where(f"hits >= {support}").join(extracted, "pattern").select("pattern", F.col("kind"), (F.col("mass") / F.col("n")).alias("confidence"))
         good = good.where(F.col("confidence") >= sure / 2)
-        scored = loose.join(good, "pattern").where(_shape(F.col("kind"), F.col("value"))).groupBy("value", "kind").agg((1 - F.product(1 - F.col("confidence"))).alias("score"))
+        scored = useful.where("kind is null").select("pattern", "value").join(good, "pattern").where(_shape(F.col("kind"), F.col("value"))).groupBy("value", "kind").agg((1 - F.product(1 - F.col("confidence"))).alias("score"))
         best = scored.groupBy("value").agg(F.max_by(F.struct("kind", "score"), F.struct("score", "kind")).alias("b"))
         new = scratch.cut(best.select("value", "b.kind", "b.score").where(F.col("score") >= sure), "found")
-        if found is not None and new.count() == found.count():
+        if found is not None and new.count() == found.count() and not new.join(found, ["value", "kind"], "left_anti").limit(1).count():
             return new
         found = new
     return found
@@ -208,6 +218,9 @@ def find_pii(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     found = bootstrap(graph, scratch, rounds, sure, support)
     added = seen.where("kind is null").drop("kind").join(small_side(found.select("value", F.col("kind"))), "value")
     added = added.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
+    # a word gives way to the run it belongs to
+    wider = lambda x: lambda y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
+    added = added.select("row", F.filter("added", lambda x: ~F.exists("added", wider(x))).alias("added"))
     added = scratch.cut(added, "added")
     old = F.when(F.col("spans") == "", F.array().cast("array<struct<kind:string,start:int,end:int>>")).otherwise(
         F.transform(F.split("spans", ","), lambda x: F.struct(F.split(x, ":")[0].alias("kind"), F.split(x, ":")[1].cast("int").alias("start"), F.split(x, ":")[2].cast("int").alias("end")))

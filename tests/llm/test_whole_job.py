@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lodestone.llm import pii
 from lodestone.llm.line_dedup import _set, _shingle_hashes, dedup_lines
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -49,3 +50,27 @@ def test_line_shingles(spark):
     signed = {x.id: set(x.h) for x in _shingle_hashes(lines, "id").groupBy("id").agg(F.collect_set("h").alias("h")).collect()}
     compared = {x.id: set(x.s) for x in lines.select("id", _set(F.col("line")).alias("s")).collect()}
     assert signed == compared and {n: len(s) for n, s in compared.items()} == {n: len(grams(line)) for n, line in rows}
+
+
+def test_spaced_instances():
+    """Identifiers of several words are instances as a whole, in their brackets."""
+    for text, want in [("at (523) 555-1055 now", "(523) 555-1055"), ("at 555 019 943, now", "555 019 943"), ("at (523)555-1055 now", "(523)555-1055"), ("at (555 019 943) now", "555 019 943")]:
+        assert want in [text[s:e] for _, s, e in pii.instances(text, [])], text
+    assert not list(pii.instances("in 12 of 34 years, 1 2 3 4", []))
+
+
+def test_pii_bootstrap_grows(spark):
+    """Found instances carry a context that holds no seed at all to others."""
+    rows = [f"write to the desk using a{i}@example.com today" for i in range(36)]
+    # found by the seeds' context, and seen in another context too
+    rows += [f"write to the desk using b{i}@local today. my alias remains b{i}@local forever" for i in range(4)]
+    # known by that second context only
+    rows += ["my alias remains z9@local forever"]
+    rows += [f"please dial desk +1 555 010 10{i}0 soon" for i in range(9)] + ["please dial desk (523) 555-1055 soon"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {x.doc_id: x for x in pii.find_pii(spark, docs).collect()}
+    at = rows[40].index("z9")
+    assert got[40].spans == f"email:{at}:{at + 8}" and got[40].n_added == 1
+    assert [got[i].n_added for i in (0, 36, 39)] == [0, 2, 2]
+    at = rows[50].index("(")
+    assert got[50].spans == f"phone:{at}:{at + 14}"
