@@ -1,9 +1,16 @@
 """Fuzzy duplicate lines with DataFrame functions alone: MinHash signatures of character shingles, banding, exact
-Jaccard confirmation, components by joins; one line of each component stays."""
+Jaccard confirmation, components by joins; one line of each component stays.
+
+Equal lines are one kind before anything is hashed. A shingle is WIDTH characters at every offset. A kind's signature
+is the least and the greatest value of HASHES independent hashes. Of a long line it is taken over those shingles whose
+own hash ends in s zero bits, s growing by one as the line doubles, so a signature costs alike at every length; lines
+near a doubling are entered at both s, so lines that are alike meet at one s at least. What bands bring together is
+confirmed on the full sets of shingles."""
 
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,134 +18,178 @@ from pyspark.sql import functions as F
 from .links import link
 from .scratch import MOST_BROADCAST, Scratch, semi_join, small_side
 
-#: 10 bands of 4 values miss a pair of similarity 0.8 five times in a thousand and one of 0.9 twice in a hundred thousand.
-BANDS, ROWS = 10, 4
-#: Agreements of the 40 values under which a pair is not verified; one of similarity 0.8 has fewer once in ten thousand.
-AGREE = 22
-#: A shingle is 5 characters and begins at every character; a shorter line is its own shingle.
+#: Characters of a shingle; a shorter line is its own shingle.
 WIDTH = 5
-SHINGLE = "(?s)(?=(.{5}|^.{1,4}))."
-#: Stretches that hold the shingles of 64 beginnings each, so that taking them apart is linear in a line's length.
-STRETCH = "(?s)(?=(.{5,68}|^.{1,4})).{1,64}"
-#: Lines a document may have; a line's id is document * LINES + number.
-LINE_BITS = 24
-LINES = 1 << LINE_BITS
+#: Hashes, each giving two values; bands of ROWS values, drawn anew from all values for each round of bands.
+HASHES, BANDS, ROWS = 20, 16, 6
+#: Shingles from which a line's signature is taken of a part of them: BASE to 2 * BASE shingles are looked at.
+BASE = 64
+#: Share of the shingles of a line that must be distinct, or its set is taken apart to choose s.
+VARIED = 0.6
 
 
-def _shingles(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _shingle_hashes(lines: DataFrame, *keys: str) -> DataFrame:
-    """(keys, h) of every shingle of the column line: what _set holds, a row each."""
-    parts = lines.select(*keys, F.explode(F.regexp_extract_all("line", F.lit(STRETCH), F.lit(1))).alias("part"))
-    spots = parts.select(*keys, "part", F.explode(F.sequence(F.lit(1), F.greatest(F.length("part") - (WIDTH - 1), F.lit(1)))).alias("at"))
-    return spots.select(*keys, F.xxhash64(F.substring(F.col("part"), F.col("at"), F.lit(WIDTH))).alias("h"))
+def _last(line: Column) -> Column:
+    """Number of the last shingle, from 0."""
+    return F.greatest(F.length(line) - WIDTH, F.lit(0))
+
+
+def _hash(wide: Column, at: Column) -> Column:
+    """Hash of the shingle at a place of a line in UTF-32, where every character has four bytes."""
+    return F.xxhash64(F.substring(wide, at * 4 + 1, F.lit(4 * WIDTH)))
 
 
 def _set(line: Column) -> Column:
-    return F.array_distinct(F.transform(_shingles(line), lambda s: F.xxhash64(s)))
+    """Distinct hashes of a line's shingles."""
+    return let(F.encode(line, "UTF-32"), lambda wide: F.array_distinct(F.transform(F.sequence(F.lit(0), _last(line)), lambda at: _hash(wide, at))))
+
+
+def _shingle_hashes(lines: DataFrame, *keys: str) -> DataFrame:
+    """(keys, at, h) of every shingle of the column line."""
+    wide = lines.select(*keys, _last(F.col("line")).alias("_last"), F.encode("line", "UTF-32").alias("_wide"))
+    spots = wide.select(*keys, "_wide", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("at"))
+    return spots.select(*keys, "at", _hash(F.col("_wide"), F.col("at")).alias("h"))
 
 
-def _packed(values: list[Column]) -> Column:
-    """The low byte of each value, eight to a number."""
-    parts = []
-    for at in range(0, len(values), 8):
-        word = None
-        for j, v in enumerate(values[at : at + 8]):
-            byte = F.shiftleft(v.bitwiseAND(F.lit(255).cast("long")), 8 * j)
-            word = byte if word is None else word.bitwiseOR(byte)
-        parts.append(word)
-    return F.array(*parts)
+def _levels(size: Column) -> Column:
+    """The s at which a set of this size is signed, its own first."""
+    own = F.length(F.bin((size / BASE).cast("long"))) - 1
+    below = (own > 0) & (size * 4 <= F.pow(F.lit(2.0), own) * (5 * BASE))
+    return F.when(below, F.array(own, own - 1)).otherwise(F.array(own))
 
 
-def _agreements(a: Column, b: Column) -> Column:
-    """Bytes in which two packed signatures agree."""
-    total = None
-    for k in range(BANDS * ROWS // 8):
-        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
-        for shift in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        same = 8 - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101).cast("long")))
-        total = same if total is None else total + same
-    return total
+def _signed(hashes: DataFrame, *keys: str) -> DataFrame:
+    """(keys, s, bands, unseen: mean share of the hash range below the values) from (keys, s, h); a null h is no shingle."""
+    draw = random.Random(17)
+    salts = [draw.getrandbits(64) - 2**63 for _ in range(HASHES)]
+    seen = [F.when(F.col("h").isNotNull(), F.xxhash64(F.col("h").bitwiseXOR(F.lit(c).cast("long")))) for c in salts]
+    made = hashes.groupBy(*keys, "s").agg(*[x for i, v in enumerate(seen) for x in (F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"))])
+    names = [f"{end}{i}" for i in range(HASHES) for end in ("lo", "hi")]
+    bands: list[Column] = []
+    while len(bands) < BANDS:
+        order = draw.sample(names, len(names))
+        bands += [F.xxhash64(F.lit(len(bands) + k), "s", *order[at : at + ROWS]) for k, at in enumerate(range(0, len(order) - ROWS + 1, ROWS))]
+    share = lambda n: (1 if n.startswith("lo") else -1) * F.col(n).cast("double") / 2.0**64 + 0.5
+    unseen = sum((share(n) for n in names[1:]), share(names[0])) / len(names)
+    return made.select(*keys, "s", F.array(*bands[:BANDS]).alias("bands"), unseen.alias("unseen"))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line) of every line that is not blank, trimmed; id tells document and line number."""
+    """(doc, no, line) of every line that is not blank, trimmed."""
     doc = F.col(id_col).cast("long")
-    src = docs.where(doc.isNotNull()).select(doc.alias("doc"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("no", "raw"))
-    number = F.when(F.col("no") < LINES, F.col("no")).otherwise(F.raise_error(F.lit(f"a document has more than {LINES} lines")).cast("int"))
-    return src.select((F.col("doc") * LINES + number).alias("id"), F.trim("raw").alias("line")).where("line <> ''")
+    src = docs.where(doc.isNotNull()).select(doc.alias("doc"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("no", "line"))
+    return src.select("doc", "no", F.trim("line").alias("line")).where("line <> ''")
+
+
+def _kinds(lines: DataFrame, scratch: Scratch, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, k1, k2, doc, no, again, size, s, bands, own) of distinct lines: the first place, whether there are others,
+    and a row for each s at which the kind is signed, own for its own s."""
+    # one text of equal lines is left before the shuffle, and signing needs no other: it groups by the same keys
+    once = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "no")).alias("at"), (F.count("*") > 1).alias("again"), F.first("line").alias("line"))
+    once = once.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "at.doc", "at.no", "again", "line", (_last(F.col("line")) + 1).alias("size"))
+    keys = ("node", "k1", "k2", "doc", "no", "again", "size")
+    entered = once.select(*keys, "line", F.posexplode(_levels(F.col("size"))).alias("below", "s"))
+    thin = F.expr("h & (shiftleft(1L, s) - 1) = 0")
+    # the first shingle stands for the line where no shingle is looked at
+    hashes = _shingle_hashes(entered, *keys, "below", "s").where(thin | (F.col("at") == 0)).withColumn("h", F.when(thin, F.col("h")))
+    signed = scratch.cut(_signed(hashes, *keys, "below"), "signed")
+    scratch.release()
+    # lines that repeat themselves have smaller sets than their length tells: those take the s of their set
+    nominal = F.col("size") / F.pow(F.lit(2.0), F.col("s"))
+    alike = (F.col("size") >= 2 * BASE) & (F.col("unseen").isNull() | (1 / F.col("unseen") - 1 < VARIED * nominal))
+    flagged = scratch.cut(signed.where(alike).select(*keys).distinct(), "flagged")
+    shape = lambda rows: rows.select(*keys, "s", "bands", (F.col("below") == 0).alias("own"))
+    if not flagged.limit(1).count():
+        return shape(signed)
+    full = texts_of(flagged).select(*keys, _set(F.col("line")).alias("all"))
+    full = full.select(*keys, "all", F.posexplode(_levels(F.size("all"))).alias("below", "s"))
+    hashes = full.select(*keys, "below", "s", F.posexplode("all").alias("at", "h")).where(thin | (F.col("at") == 0)).withColumn("h", F.when(thin, F.col("h")))
+    again = scratch.cut(shape(_signed(hashes, *keys, "below")), "signed")
+    return shape(signed.join(small_side(flagged.select("node")), "node", "left_anti")).union(again)
+
+
+def _compared(xs: Column, ys: Column, percent: int) -> Column:
+    """Links (a, b) between xs and ys, arrays of (id, component, line): sets are made once a row, and those of different
+    components that reach the similarity are linked."""
+
+    def reaches(x: Column, y: Column) -> Column:
+        na, nb, both = F.size(x), F.size(y), F.size(F.array_intersect(x, y))
+        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (both * (100 + percent) >= (na + nb) * percent)
+
+    sets = lambda rows: F.transform(rows, lambda r: F.struct(r["id"].alias("id"), r["component"].alias("component"), _set(r["line"]).alias("set")))
+    linked = lambda x, y: (x["component"] != y["component"]) & reaches(x["set"], y["set"])
+    ends = lambda x, y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b"))
+    return let(sets(ys), lambda full: F.flatten(F.transform(sets(xs), lambda x: F.transform(F.filter(full, lambda y: linked(x, y)), lambda y: ends(x, y)))))
 
 
 def removed_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """(doc, gone: sorted line numbers) for every document that loses lines."""
     scratch = Scratch(spark, "lines")
-    lines = lines_of(docs, id_col, text_col)
-    keyed = lines.select("id", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), "line")
+    keyed = lines_of(docs, id_col, text_col).select("doc", "no", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), "line")
 
-    # MinHash with a hash of its own for each value. Equal lines meet in the same aggregation; what it keeps of a line
-    # is its band keys.
-    hashed = _shingle_hashes(keyed, "id", "k1", "k2")
-    draw = random.Random(17)
-    salts = [draw.getrandbits(64) - 2**63 for _ in range(BANDS * ROWS)]
-    seen = [F.xxhash64(F.col("h").bitwiseXOR(F.lit(c).cast("long"))) for c in salts]
-    signed = hashed.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.max("id").alias("last"), *[F.min(x).alias(f"min{i}") for i, x in enumerate(seen)])
-    values = [F.col(f"min{i}") for i in range(len(salts))]
-    bands = F.array(*[F.xxhash64(F.lit(b), *values[b::BANDS]) for b in range(BANDS)])
-    kinds = scratch.cut(signed.select("k1", "k2", "first", "last", bands.alias("bands"), _packed(values).alias("sketch")), "kinds")
-    scratch.release()
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """wanted (node, k1, doc, no, more) with the line of each; documents without a wanted line are not taken apart."""
+        owners = scratch.cut(wanted.select(F.col("doc").alias("_owner")).distinct(), "owners")
+        some = semi_join(docs.select(F.col(id_col).cast("long").alias("_owner"), F.col(text_col).alias("_text")), owners, "_owner")
+        return lines_of(some, "_owner", "_text").join(small_side(wanted), ["doc", "no"]).where(F.xxhash64("line") == F.col("k1")).dropDuplicates(["node"])
+
+    kinds = _kinds(keyed, scratch, texts_of)
+    texts: list[DataFrame] = []
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = scratch.cut(pairs, "pairs")
-        wanted = scratch.cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
-        owners = scratch.cut(wanted.select(F.shiftright("id", LINE_BITS).alias("_owner")).distinct(), "owners")
-        some = semi_join(docs.select(F.col(id_col).cast("long").alias("_owner"), F.col(text_col).alias("_text")), owners, "_owner")
-        texts = semi_join(lines_of(some, "_owner", "_text"), wanted, "id").dropDuplicates(["id"])
-        # sets are many times their text, so the text is what joins move
-        texts = scratch.cut(texts.select("id", "line"), "texts")
-        full = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-
-        def reaches(s: Column) -> Column:
-            na, nb, both = F.size(s["xa"]), F.size(s["xb"]), F.size(F.array_intersect(s["xa"], s["xb"]))
-            return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (both * (100 + percent) >= (na + nb) * percent)
-
-        # bound by a lambda, each set is made once a pair however often it is read
-        fits = F.get(F.transform(F.array(F.struct(_set(F.col("ta")).alias("xa"), _set(F.col("tb")).alias("xb"))), reaches), F.lit(0))
-        found = scratch.cut(full.where(fits).select("a", "b"), "confirmed")
-        scratch.drop(pairs, wanted, owners, texts)
-        return found
-
-    label = link(kinds.select(F.explode("bands").alias("bucket"), F.col("first").alias("id"), F.lit(1).alias("size"), "sketch"), verify, scratch, percent, near=lambda a, b: _agreements(a, b) >= AGREE)
+        if not texts:  # the first pairs name all members of shared buckets
+            nodes = scratch.cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
+            wanted = scratch.cut(kinds.where("own").select("node", "k1", "doc", "no").join(small_side(nodes), "node", "left_semi"), "wanted")
+            texts.append(scratch.cut(texts_of(wanted).select("node", "line"), "texts"))
+        side = lambda name, line: texts[0].select(F.col("node").alias(name), F.col("line").alias(line))
+        full = pairs.join(side("b", "tb"), "b").groupBy("a", F.pmod(F.xxhash64("b"), F.lit(32)).alias("part")).agg(F.collect_list(F.struct(F.col("b").alias("id"), F.col("b").alias("component"), F.col("tb").alias("line"))).alias("ys"))
+        full = full.join(side("a", "ta"), "a")
+        x = F.array(F.struct(F.col("a").alias("id"), F.col("a").alias("component"), F.col("ta").alias("line")))
+        return scratch.cut(full.select(F.inline(_compared(x, F.col("ys"), percent))), "confirmed")
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        full = rows.join(texts[0].select(F.col("node").alias("id"), "line"), "id")
+        row = F.struct("id", "component", "line")
+        of = lambda side: F.collect_list(F.when(F.col("side") == side, row))
+        full = full.groupBy("key1", "key2", "key3").agg(of(0).alias("xs"), of(1).alias("ys"))
+        return scratch.cut(full.select(F.inline(_compared(F.col("xs"), F.col("ys"), percent))), "confirmed").distinct()
+
+    buckets = kinds.select(F.explode("bands").alias("bucket"), F.col("node").alias("id"), F.lit(1).alias("size"), F.col("size").alias("weight"))
+    label = link(buckets, verify, scratch, percent, blocks, large=0)
     # only kinds that stand twice, or that gave way to another, lose lines
-    kept = kinds.select("k1", "k2", "first", "last").join(label.select(F.col("id").alias("first"), "component"), "first", "left")
-    kept = kept.select("k1", "k2", "first", "last", F.coalesce("component", "first").alias("stays")).where("first <> last or stays <> first")
-    kept = scratch.cut(kept.select("k1", "k2", "stays"), "kept")
-    gone = keyed.select("id", "k1", "k2").join(small_side(kept), ["k1", "k2"]).where("id <> stays").select("id")
-    doc = F.shiftright("id", LINE_BITS)
-    out = gone.distinct().groupBy(doc.alias("doc")).agg(F.sort_array(F.collect_list(F.col("id").bitwiseAND(F.lit(LINES - 1).cast("long")).cast("int"))).alias("gone"))
-    return scratch.cut(out, "gone")
+    own = kinds.where("own").select("node", "k1", "k2", "again", F.struct("doc", "no").alias("at"))
+    own = scratch.cut(own.join(label.select(F.col("id").alias("node"), "component"), "node", "left").where("again or component is not null"), "own")
+    least = own.where("component is not null").groupBy("component").agg(F.min("at").alias("least"))
+    kept = own.join(least, "component", "left").select("k1", "k2", F.coalesce("least", "at").alias("stays"))
+    kept = scratch.cut(kept.select("k1", "k2", F.col("stays.doc").alias("sdoc"), F.col("stays.no").alias("sno")), "kept")
+    gone = keyed.select("doc", "no", "k1", "k2").join(small_side(kept), ["k1", "k2"]).where("doc <> sdoc or no <> sno").select("doc", "no")
+    return scratch.cut(gone.groupBy("doc").agg(F.sort_array(F.collect_set("no")).alias("gone")), "gone")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """docs with text_col less its repeated lines, and the columns n_lines and n_removed (lines that are not blank).
 
     Lines are compared trimmed; lines are alike when 100 * intersection >= percent * union of their character
-    shingles. Of each component of alike lines the first stays (least document id, then line number), blank lines
-    stay, and the others keep their order. Null texts stay null with 0 lines; empty texts stay empty; a row with a
-    null id takes no part and stays as it is; rows that repeat an id count as one document. Columns that docs has
-    already under the names n_lines or n_removed are replaced."""
+    shingles (WIDTH characters at every offset; a shorter line is one shingle). Of each component of alike lines the
+    first stays (least document id, then line number), blank lines stay, and the others keep their order. Null texts
+    stay null with 0 lines; empty texts stay empty; a row with a null id takes no part and stays as it is; rows that
+    repeat an id count as one document and lose the same places. Ids may be any 64-bit number.
+    Columns that docs has already under the names n_lines or n_removed are replaced."""
     gone = removed_lines(spark, docs, id_col, text_col, percent)
     src = docs.drop("n_lines", "n_removed")
     own = src.columns
     doc, lost_lines = (next(n for n in (f"{x}{i}" for i in range(10**6)) if n not in {c.lower() for c in own}) for x in ("_doc", "_gone"))
     side = gone.select(F.col("doc").alias(doc), F.col("gone").alias(lost_lines))
-    lost = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
-    joined = src.join(F.broadcast(side) if lost <= MOST_BROADCAST else side.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col(doc), "left")
+    n, lost = gone.agg(F.count("*"), F.sum(F.size("gone"))).first()
+    joined = src.join(F.broadcast(side) if 64 * n + 8 * (lost or 0) <= MOST_BROADCAST else side.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col(doc), "left")
     parts = F.split(F.col(text_col).cast("string"), "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(lost_lines))
-    less = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
+    less = let(parts, lambda all_: F.array_join(F.transform(stay, lambda i: F.get(all_, i)), "\n"))
     n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(F.filter(parts, lambda x: F.trim(x) != "")))
     return joined.select(
         *[F.when(F.col(lost_lines).isNull(), F.col(c)).otherwise(less).alias(c) if c == text_col else F.col(c) for c in own],

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .graph import components
 from .scratch import Scratch, small_side
 
-#: Members from which an open bucket counts as large, and the rows of a block.
-LARGE, BLOCK = 48, 192
+#: Members from which an open bucket counts as large, the rows of a block, and the weight of a block's rows.
+LARGE, BLOCK, WEIGHT = 48, 192, 1 << 18
 
 
 def _alike(a: str, b: str, percent: int) -> Column:
@@ -33,14 +33,16 @@ def shared_buckets(buckets: DataFrame, scratch: Scratch, more: list[str]) -> Dat
     return out
 
 
-def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, percent: int, blocks: Callable[[DataFrame], DataFrame] | None = None, near: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, percent: int, blocks: Callable[[DataFrame], DataFrame], large: int | None = None) -> DataFrame:
     """(id, component) of the ids that have a link which holds.
 
-    buckets (bucket long, id long, size), each pair of bucket and id once; verify takes (a, b), a < b, and returns
-    those that hold. blocks takes (key1, key2, key3, side, id, component), where the rows of one key are to be compared
-    side 0 with side 1, and returns the links (a, b) that hold; without it large buckets go through the join too. near takes the `sketch` columns of a pair and tells whether it is
-    worth verifying; with it buckets carry such a column."""
-    more = ["sketch"] if near else []
+    buckets (bucket long, id long, size), each pair of bucket and id once, with a column weight or without; verify
+    takes (a, b), a < b, and returns those that hold. blocks takes (key1, key2, key3, side, id, component), where the
+    rows of one key are to be compared side 0 with side 1, and returns the links (a, b) that hold. Where rows have a
+    weight (what a row takes in memory), a side of a block holds WEIGHT of it at most, but a row at least. Buckets
+    under `large` members give their pairs by a join."""
+    more = ["weight"] if "weight" in buckets.columns else []
+    large = LARGE if large is None else large
     shared = shared_buckets(buckets, scratch, more)
     first = shared.where("id > leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     edges = scratch.cut(verify(first), "edges")
@@ -71,24 +73,23 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch:
     scratch.drop(still)
     if not rest.limit(1).count():
         return label
-    small = rest.where(F.col("members") < LARGE) if blocks else rest
-    left = small.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("size").alias("sa"), *[F.col(c).alias("xa") for c in more])
-    right = small.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"), *[F.col(c).alias("xb") for c in more])
-    worth = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike("sa", "sb", percent)
-    if near:
-        worth = worth & near(F.col("xa"), F.col("xb"))
-    third = left.join(right, (left["bucket"] == right["bucket"]) & worth).select("a", "b").distinct()
-    edges = edges.union(verify(third))
-    if blocks:
-        edges = edges.union(blocks(_blocks(rest.where(F.col("members") >= LARGE))))
+    if large > 1:
+        small = rest.where(F.col("members") < large)
+        left = small.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("size").alias("sa"))
+        right = small.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"))
+        worth = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike("sa", "sb", percent)
+        edges = edges.union(verify(left.join(right, (left["bucket"] == right["bucket"]) & worth).select("a", "b").distinct()))
+    edges = edges.union(blocks(_blocks(rest.where(F.col("members") >= large))))
     return components(scratch.cut(edges, "edges"), scratch)
 
 
 def _blocks(rest: DataFrame) -> DataFrame:
     """Members outside a bucket's commonest component (side 0) against all its members (side 1), cut into blocks."""
-    sizes = rest.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    shape = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    shape = shape.select("bucket", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("xs"), F.ceil(F.col("all") / BLOCK).cast("int").alias("ys"))
+    weight = F.max("weight") if "weight" in rest.columns else F.lit(1)
+    sizes = rest.groupBy("bucket", "component").agg(F.count("*").alias("n"), weight.alias("weight"))
+    shape = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.max("weight").alias("weight"))
+    side = F.greatest(F.lit(1), F.least(F.lit(BLOCK) if "weight" not in rest.columns else F.lit(WEIGHT), F.floor(F.lit(WEIGHT) / F.col("weight"))))
+    shape = shape.select("bucket", "main", F.ceil((F.col("all") - F.col("most")) / side).cast("int").alias("xs"), F.ceil(F.col("all") / side).cast("int").alias("ys"))
     rows = rest.join(shape, "bucket")
     mix = F.xxhash64("id")
     x = rows.where("component <> main").select("bucket", F.pmod(mix, F.col("xs")).cast("int").alias("xb"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("yb"), F.lit(0).alias("side"), "id", "component")

@@ -10,16 +10,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Ids up to which a wanted set is broadcast instead of shuffling whole texts.
-MOST_BROADCAST = 1_000_000
+#: Bytes up to which a table is broadcast, by its counted rows and the width of its columns.
+MOST_BROADCAST = 48 << 20
+_WIDTH = {"boolean": 1, "int": 4, "float": 4, "long": 8, "bigint": 8, "double": 8}
 _roots: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder of spark.checkpoint.dir; a temporary one only where the session has none (tests)."""
+    """Folder of spark.checkpoint.dir, or the one given to setCheckpointDir; a temporary one only for a local master."""
     sc = spark.sparkContext
     if sc.applicationId not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-")
+        given = sc._jsc.sc().getCheckpointDir()
+        base = spark.conf.get("spark.checkpoint.dir", None) or (given.get() if given.isDefined() else None)
+        if not base:
+            if not (sc.master or "").startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            base = tempfile.mkdtemp(prefix="lodestone-")
         root = f"{base.rstrip('/')}/lodestone-{sc.applicationId}-{uuid.uuid4().hex[:8]}"
         _roots[sc.applicationId] = root
         atexit.register(_remove_quietly, spark, root)
@@ -75,9 +81,14 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def row_bytes(table: DataFrame) -> int:
+    """Bytes that a row takes in a broadcast relation; strings and nested values count as 64."""
+    return 24 + sum(_WIDTH.get(f.dataType.simpleString(), 64) for f in table.schema.fields)
+
+
 def small_side(table: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """A written table, marked for broadcast only if it has at most `most` rows."""
-    return F.broadcast(table) if table.count() <= most else table
+    """A written table, marked for broadcast only if its counted rows take at most `most` bytes."""
+    return F.broadcast(table) if table.count() * row_bytes(table) <= most else table
 
 
 def semi_join(big: DataFrame, wanted: DataFrame, key: str, most: int = MOST_BROADCAST) -> DataFrame:
