@@ -24,6 +24,8 @@ WIDTH = 5
 HASHES, BANDS, ROWS = 20, 16, 6
 #: Shingles from which a line's signature is taken of a part of them: BASE to 2 * BASE shingles are looked at.
 BASE = 64
+#: Words of 64 cells that hold the parities of a line's shingles.
+WORDS = 16
 #: Share of the shingles of a line that must be distinct, or its set is taken apart to choose s.
 VARIED = 0.6
 
@@ -112,18 +114,21 @@ def _kinds(lines: DataFrame, scratch: Scratch, texts_of: Callable[[DataFrame], D
     return shape(signed.join(small_side(flagged.select("node")), "node", "left_anti")).union(again)
 
 
-def _compared(xs: Column, ys: Column, percent: int) -> Column:
-    """Links (a, b) between xs and ys, arrays of (id, component, line): sets are made once a row, and those of different
-    components that reach the similarity are linked."""
+def _parities(texts: DataFrame) -> DataFrame:
+    """(node, n, odd) of texts (node, line): the size of the line's set, and for each of 64 * WORDS cells whether an odd
+    number of its shingles falls there. The cells in which two lines differ are at most the shingles that one of them
+    alone has, so pairs that differ in too many cells cannot be alike and need no comparison."""
+    each = texts.select("node", F.explode(_set(F.col("line"))).alias("h"))
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) as int))")
+    word = F.shiftrightunsigned("h", 48).bitwiseAND(F.lit(WORDS - 1).cast("long"))
+    sums = each.select("node", word.alias("word"), bit.alias("bit")).groupBy("node").agg(F.count("*").alias("n"), *[F.bit_xor(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)])
+    return sums.select("node", "n", F.array(*[f"w{w}" for w in range(WORDS)]).alias("odd"))
 
-    def reaches(x: Column, y: Column) -> Column:
-        na, nb, both = F.size(x), F.size(y), F.size(F.array_intersect(x, y))
-        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (both * (100 + percent) >= (na + nb) * percent)
 
-    sets = lambda rows: F.transform(rows, lambda r: F.struct(r["id"].alias("id"), r["component"].alias("component"), _set(r["line"]).alias("set")))
-    linked = lambda x, y: (x["component"] != y["component"]) & reaches(x["set"], y["set"])
-    ends = lambda x, y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b"))
-    return let(sets(ys), lambda full: F.flatten(F.transform(sets(xs), lambda x: F.transform(F.filter(full, lambda y: linked(x, y)), lambda y: ends(x, y)))))
+def _possible(nx: Column, ny: Column, x: Column, y: Column, percent: int) -> Column:
+    """Whether sets of these sizes and parities can reach the similarity."""
+    apart = sum((F.bit_count(F.get(x, F.lit(w)).bitwiseXOR(F.get(y, F.lit(w)))) for w in range(1, WORDS)), F.bit_count(F.get(x, F.lit(0)).bitwiseXOR(F.get(y, F.lit(0)))))
+    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (apart * (100 + percent) <= (nx + ny) * (100 - percent))
 
 
 def removed_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -138,28 +143,39 @@ def removed_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         return lines_of(some, "_owner", "_text").join(small_side(wanted), ["doc", "no"]).where(F.xxhash64("line") == F.col("k1")).dropDuplicates(["node"])
 
     kinds = _kinds(keyed, scratch, texts_of)
-    texts: list[DataFrame] = []
+    side: dict[str, DataFrame] = {}
+
+    def prepare(pairs: DataFrame) -> None:
+        """Texts and parities of the members of shared buckets, which the first pairs name."""
+        nodes = scratch.cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
+        wanted = scratch.cut(kinds.where("own").select("node", "k1", "doc", "no").join(small_side(nodes), "node", "left_semi"), "wanted")
+        side["texts"] = scratch.cut(texts_of(wanted).select("node", "line"), "texts")
+        side["odd"] = scratch.cut(_parities(side["texts"]), "parities")
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = scratch.cut(pairs, "pairs")
-        if not texts:  # the first pairs name all members of shared buckets
-            nodes = scratch.cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
-            wanted = scratch.cut(kinds.where("own").select("node", "k1", "doc", "no").join(small_side(nodes), "node", "left_semi"), "wanted")
-            texts.append(scratch.cut(texts_of(wanted).select("node", "line"), "texts"))
-        side = lambda name, line: texts[0].select(F.col("node").alias(name), F.col("line").alias(line))
-        full = pairs.join(side("b", "tb"), "b").groupBy("a", F.pmod(F.xxhash64("b"), F.lit(32)).alias("part")).agg(F.collect_list(F.struct(F.col("b").alias("id"), F.col("b").alias("component"), F.col("tb").alias("line"))).alias("ys"))
-        full = full.join(side("a", "ta"), "a")
-        x = F.array(F.struct(F.col("a").alias("id"), F.col("a").alias("component"), F.col("ta").alias("line")))
-        return scratch.cut(full.select(F.inline(_compared(x, F.col("ys"), percent))), "confirmed")
+        if not side:
+            prepare(pairs)
+        odd, texts = side["odd"], side["texts"]
+        seen = pairs.join(odd.toDF("b", "nb", "ob"), "b").join(odd.toDF("a", "na", "oa"), "a")
+        alive = scratch.cut(seen.where(_possible(F.col("na"), F.col("nb"), F.col("oa"), F.col("ob"), percent)).select("a", "b", "na", "nb"), "alive")
+        full = alive.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
+        both = F.size(F.array_intersect(_set(F.col("ta")), _set(F.col("tb"))))
+        found = scratch.cut(full.where(both * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b"), "confirmed")
+        scratch.drop(pairs, alive)
+        return found
 
     def blocks(rows: DataFrame) -> DataFrame:
-        full = rows.join(texts[0].select(F.col("node").alias("id"), "line"), "id")
-        row = F.struct("id", "component", "line")
-        of = lambda side: F.collect_list(F.when(F.col("side") == side, row))
+        # blocks are few and dear: as many partitions as can work, not as their bytes would tell
+        full = rows.join(side["odd"].withColumnRenamed("node", "id"), "id").repartition(4 * spark.sparkContext.defaultParallelism, "key1", "key2", "key3")
+        of = lambda at: F.collect_list(F.when(F.col("side") == at, F.struct("id", "component", "n", "odd")))
         full = full.groupBy("key1", "key2", "key3").agg(of(0).alias("xs"), of(1).alias("ys"))
-        return scratch.cut(full.select(F.inline(_compared(F.col("xs"), F.col("ys"), percent))), "confirmed").distinct()
+        worth = lambda x, y: (x["component"] != y["component"]) & _possible(x["n"], y["n"], x["odd"], y["odd"], percent)
+        ends = lambda x, y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b"))
+        met = F.flatten(F.transform("xs", lambda x: F.transform(F.filter("ys", lambda y: worth(x, y)), lambda y: ends(x, y))))
+        return verify(full.select(F.inline(met)).distinct())
 
-    buckets = kinds.select(F.explode("bands").alias("bucket"), F.col("node").alias("id"), F.lit(1).alias("size"), F.col("size").alias("weight"))
+    buckets = kinds.select(F.explode("bands").alias("bucket"), F.col("node").alias("id"), F.lit(1).alias("size"))
     label = link(buckets, verify, scratch, percent, blocks, large=0)
     # only kinds that stand twice, or that gave way to another, lose lines
     own = kinds.where("own").select("node", "k1", "k2", "again", F.struct("doc", "no").alias("at"))
