@@ -157,9 +157,9 @@ def removed_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         if not side:
             prepare(pairs)
         odd, texts = side["odd"], side["texts"]
-        seen = pairs.join(odd.toDF("b", "nb", "ob"), "b").join(odd.toDF("a", "na", "oa"), "a")
+        seen = pairs.join(small_side(odd).toDF("b", "nb", "ob"), "b").join(small_side(odd).toDF("a", "na", "oa"), "a")
         alive = scratch.cut(seen.where(_possible(F.col("na"), F.col("nb"), F.col("oa"), F.col("ob"), percent)).select("a", "b", "na", "nb"), "alive")
-        full = alive.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
+        full = texts.toDF("b", "tb").join(small_side(alive), "b").join(texts.toDF("a", "ta"), "a")
         both = F.size(F.array_intersect(_set(F.col("ta")), _set(F.col("tb"))))
         found = scratch.cut(full.where(both * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b"), "confirmed")
         scratch.drop(pairs, alive)

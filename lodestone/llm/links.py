@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .scratch import Scratch, small_side
+from .scratch import MOST_TOGETHER, Scratch, small_side, together
 
 #: Members from which an open bucket counts as large, and the rows of a block.
 LARGE, BLOCK = 48, 192
@@ -42,15 +42,17 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch:
     join."""
     large = LARGE if large is None else large
     shared = shared_buckets(buckets, scratch)
+    few = shared.count() <= MOST_TOGETHER
+    shared = together(shared, few)
     first = shared.where("id > leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     edges = scratch.cut(verify(first), "edges")
     label = components(edges, scratch)
 
     def open_buckets(rows: DataFrame) -> DataFrame:
         known = rows.select("bucket", "id", "size").join(label, "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("component"))
-        known = scratch.cut(known, "known")
+        known = together(scratch.cut(known, "known"), few)
         several = known.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("members")).where("_lo < _hi")
-        out = scratch.cut(known.join(several.select("bucket", "members"), "bucket"), "open")
+        out = together(scratch.cut(known.join(several.select("bucket", "members"), "bucket"), "open"), few)
         scratch.drop(known)
         return out
 

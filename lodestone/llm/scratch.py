@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a few numbers up to which a table is worked on in one task: shuffling so few costs more than it saves.
+MOST_TOGETHER = 400_000
 #: Bytes up to which a table is broadcast, by its counted rows and the width of its columns.
 MOST_BROADCAST = 48 << 20
 _WIDTH = {"boolean": 1, "int": 4, "float": 4, "long": 8, "bigint": 8, "double": 8}
@@ -82,8 +84,8 @@ class Scratch:
 
 
 def row_bytes(table: DataFrame) -> int:
-    """Bytes that a row takes in a broadcast relation; strings and nested values count as 64."""
-    return 24 + sum(_WIDTH.get(f.dataType.simpleString(), 64) for f in table.schema.fields)
+    """Bytes that a row takes in a broadcast relation; strings and nested values count as 160."""
+    return 24 + sum(_WIDTH.get(f.dataType.simpleString(), 160) for f in table.schema.fields)
 
 
 def small_side(table: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
@@ -91,6 +93,11 @@ def small_side(table: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(table) if table.count() * row_bytes(table) <= most else table
 
 
+def together(table: DataFrame, small: bool) -> DataFrame:
+    """A table of a checked size in one partition, so that joins and sums over it need no exchange; others as they are."""
+    return table.coalesce(1) if small else table
+
+
 def semi_join(big: DataFrame, wanted: DataFrame, key: str, most: int = MOST_BROADCAST) -> DataFrame:
     """Rows of big whose key is in wanted, a written table of distinct keys."""
     return big.join(small_side(wanted, most), key, "left_semi")
