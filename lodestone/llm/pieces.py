@@ -3,7 +3,9 @@ hash says so, which gives varied segmentations that all decode to the same text.
 
 A text is a leading space mark and its characters, spaces as marks; characters without a piece, and the mark itself
 where a text holds it, become byte pieces. Merges never cross the beginning of a run of marks, so the distinct
-segments of a chunk are segmented once, in arrays: one agenda step for all of them at a time."""
+segments of a chunk are segmented once without dropout, in arrays: one agenda step for all of them at a time. Each
+occurrence has a key of its own, by seed, document and place; it takes the shared segmentation if its key skips none
+of the merges that led there, and is segmented by itself otherwise."""
 
 from __future__ import annotations
 
@@ -26,7 +28,8 @@ BIG = np.int32(2**31 - 1)
 WIDTHS = (2, 4, 6, 8, 10, 12, 16, 24, 40)
 #: Symbols that are processed at a time, so that they stay in the processor's cache.
 BLOCK = 1 << 17
-CHUNK = 1 << 23
+#: Bytes of text that are encoded at a time.
+CHUNK = 1 << 19
 _NORMAL, _BYTE = 1, 6
 
 
@@ -169,8 +172,9 @@ class Model:
                 offer(prev[i], i)
         return [s for s in sym if s >= 0]
 
-    def rows(self, sym: np.ndarray, key: np.ndarray, dropout: float) -> np.ndarray:
-        """Agenda processing of many segments, one a column, padded with -1; a step pops one candidate of each."""
+    def rows(self, sym: np.ndarray, key: np.ndarray, dropout: float, merges: list | None = None) -> np.ndarray:
+        """Agenda processing of many segments, one a column, padded with -1; a step pops one candidate of each.
+        merges gets (column, place, left, right) of every merge that is made."""
         w, n = sym.shape
         out = np.empty_like(sym)
         who, beg = np.arange(n), np.repeat(np.arange(w, dtype=np.int32)[:, None], n, 1)
@@ -197,6 +201,8 @@ class Model:
                 skip = live & (_draw(key, beg[j, c], a, b) < limit)
                 rank[j[skip], c[skip]] = BIG
                 merge = live & ~skip
+            if merges is not None:
+                merges.append((who[merge], beg[j, c][merge], a[merge], b[merge]))
             # the merged pair's right symbol goes, and what is beyond moves down one place
             edge = np.where(merge, j, w)
             for x in range(int(edge.min()) + 1, w - 1):
@@ -232,36 +238,68 @@ class Model:
         lens = np.diff(np.append(start, n))
         place = np.arange(n) - np.repeat(start, lens)
         h = K.mix(np.add.reduceat(K.mix(sym.astype(U64)) * K._power(int(lens.max()) + 1)[place], start) + lens.astype(U64))
-        doc_of = np.searchsorted(doc_at, start, "right") - 1
-        key = K.mix(h ^ salt[doc_of]) if dropout else h
-        unique, where, back = np.unique(key, return_index=True, return_inverse=True)
-        u_start, u_len, u_h = start[where], lens[where], unique
-        parts, owner = [], []
+        _, where, back = np.unique(h, return_index=True, return_inverse=True)
+        flat, size, merges = self._segments(sym, start[where], lens[where], np.zeros(len(where), U64), 0.0, bool(dropout))
+        if dropout:
+            doc_of = np.searchsorted(doc_at, start, "right") - 1
+            key = K.mix(salt[doc_of] ^ K.mix((start - doc_at[doc_of]).astype(U64) + U64(1)))
+            own = np.flatnonzero(self._skips(merges, back, key, dropout) | (lens > WIDTHS[-1]))
+            more, sizes, _ = self._segments(sym, start[own], lens[own], key[own], dropout, False)
+            back[own] = len(size) + np.arange(len(own))
+            flat, size = np.concatenate([flat, more]), np.concatenate([size, sizes])
+        from_ = np.concatenate([[0], np.cumsum(size)])[:-1]
+        count = size[back]
+        ends = np.cumsum(count)
+        ids = flat[np.repeat(from_[back] - (ends - count), count) + np.arange(ends[-1])]
+        off = np.concatenate([[0], ends])[np.append(np.searchsorted(start, doc_at[:-1]), len(start))]
+        return ids.astype(np.int32), off.astype(np.int64)
+
+    def _segments(self, sym: np.ndarray, start: np.ndarray, lens: np.ndarray, key: np.ndarray, dropout: float, trace: bool) -> tuple[np.ndarray, np.ndarray, list]:
+        """Pieces of the segments one after the other, how many each has, and with trace the merges of the short ones."""
+        parts, owner, merges = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], []
         low = 0
         for w in WIDTHS:
-            pick = np.flatnonzero((u_len > low) & (u_len <= w))
+            pick = np.flatnonzero((lens > low) & (lens <= w))
             low = w
             for some in np.array_split(pick, len(pick) * w // BLOCK + 1) if len(pick) else ():
-                at = np.arange(w)[:, None] + u_start[some]
-                block = np.where(np.arange(w)[:, None] < u_len[some], sym[np.minimum(at, n - 1)], -1).astype(np.int32)
-                done = np.ascontiguousarray(self.rows(block, u_h[some], dropout).T)
+                at = np.arange(w)[:, None] + start[some]
+                block = np.where(np.arange(w)[:, None] < lens[some], sym[np.minimum(at, len(sym) - 1)], -1).astype(np.int32)
+                made: list | None = [] if trace else None
+                done = np.ascontiguousarray(self.rows(block, key[some], dropout, made).T)
+                merges += [(some[who], place, a, b) for who, place, a, b in made or ()]
                 keep = done >= 0
                 parts.append(done[keep])
                 owner.append(np.repeat(some, keep.sum(1)))
-        for i in np.flatnonzero(u_len > WIDTHS[-1]):
-            got = self.heap(sym[u_start[i] : u_start[i] + u_len[i]].tolist(), int(u_h[i]), dropout)
+        for i in np.flatnonzero(lens > WIDTHS[-1]) if dropout or not trace else ():
+            got = self.heap(sym[start[i] : start[i] + lens[i]].tolist(), int(key[i]), dropout)
             parts.append(np.array(got, np.int32))
             owner.append(np.full(len(got), i))
         flat, own = np.concatenate(parts), np.concatenate(owner)
         order = np.argsort(own, kind="stable")
         flat, own = self._with_bytes(flat[order], own[order])
-        size = np.bincount(own, minlength=len(unique))
-        from_ = np.concatenate([[0], np.cumsum(size)])[:-1]
-        count = size[back]
-        ends = np.cumsum(count)
-        ids = flat[np.repeat(from_[back] - (ends - count), count) + np.arange(ends[-1])]
-        off = np.concatenate([[0], ends])[np.append(np.searchsorted(start, doc_at[:-1]), len(start))]
-        return ids.astype(np.int32), off.astype(np.int64)
+        return flat, np.bincount(own, minlength=len(start)), merges
+
+    def _skips(self, merges: list, back: np.ndarray, key: np.ndarray, dropout: float) -> np.ndarray:
+        """Whether the key of each occurrence skips a merge of its segment."""
+        out = np.zeros(len(back), bool)
+        if not merges:
+            return out
+        who, place, a, b = (np.concatenate(x) for x in zip(*merges, strict=True))
+        order = np.argsort(who, kind="stable")
+        who, place, a, b = who[order], place[order], a[order], b[order]
+        n = np.bincount(who, minlength=int(back.max()) + 1)
+        first = np.cumsum(n) - n
+        limit = U64(min(int(dropout * 2**64), 2**64 - 1))
+        times = n[back]
+        ends = np.cumsum(times)
+        for lo in range(0, len(back), 1 << 16):
+            hi = min(lo + (1 << 16), len(back))
+            t = times[lo:hi]
+            base = ends[lo] - times[lo]
+            at = np.repeat(first[back[lo:hi]] - (ends[lo:hi] - t - base), t) + np.arange(t.sum())
+            skipped = _draw(np.repeat(key[lo:hi], t), place[at], a[at], b[at]) < limit
+            out[np.repeat(np.arange(lo, hi), t)[skipped]] = True
+        return out
 
     def _with_bytes(self, flat: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols that are no pieces as byte pieces of their UTF-8 form."""
@@ -292,15 +330,14 @@ class Model:
 
 
 def _draw(key: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Keyed hash of a candidate merge: its segment, where it stands and the two symbols."""
+    """Keyed hash of a candidate merge: the occurrence of its segment, where it stands and the two symbols."""
     pair = left.astype(U64) << U64(32) | right.astype(U64)
     return K.mix(key ^ K.mix(pair + K.mix(place.astype(U64) + U64(1))))
 
 
-def salts(ids: np.ndarray, seed: int, variants: int) -> np.ndarray:
-    """Key of each document: one of `variants` by seed and id, so that equal words share work within a chunk."""
-    v = K.mix(ids.astype(np.int64).view(U64) ^ K.mix(np.array([seed & (2**64 - 1)], U64)))
-    return K.mix(v % U64(variants) + U64(1) + K.mix(np.array([seed & (2**64 - 1)], U64)))
+def salts(ids: np.ndarray, seed: int) -> np.ndarray:
+    """Key of each document, by seed and id."""
+    return K.mix(ids.astype(np.int64).view(U64) ^ K.mix(np.array([seed & (2**64 - 1)], U64)))
 
 
 @lru_cache(maxsize=2)
@@ -308,10 +345,11 @@ def _model(raw: bytes) -> Model:
     return Model(raw)
 
 
-def encode_documents(spark: SparkSession, docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1, variants: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(spark: SparkSession, docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens, token_ids, lossless) for every row of docs.
 
-    dropout is the chance that a candidate merge is skipped; 0 gives the model's own segmentation. Every row is
+    dropout is the chance that a candidate merge is skipped, by a hash keyed with seed, id and place in the text, so
+    equal words are cut differently from place to place; 0 gives the model's own segmentation. Every row is
     decoded again and compared with its text byte by byte; lossless tells the outcome. Null texts are as empty
     ones: no tokens, lossless. Rows with a null id are encoded under id 0; repeated rows are encoded alike;
     other columns are left alone. The model file (under 1 MB) is read at the driver and sent with the job."""
@@ -328,7 +366,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, model_path: str, drop
                 part, at = data[off[a] : off[b]], off[a : b + 1] - off[a]
                 full = np.flatnonzero(np.diff(at))
                 texts = [x or "" for x in batch.column(1).slice(a, b - a).to_pylist()]
-                ids, to = model.encode([texts[i] for i in full], salts(number[a:b][full], seed, variants), dropout)
+                ids, to = model.encode([texts[i] for i in full], salts(number[a:b][full], seed), dropout)
                 size = np.zeros(b - a, np.int64)
                 size[full] = np.diff(to)
                 where = np.concatenate([[0], np.cumsum(size)])

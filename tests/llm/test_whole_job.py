@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.llm import pii
+from lodestone.llm import pieces, pii
 from lodestone.llm.line_dedup import _set, _shingle_hashes, dedup_lines
+from lodestone.llm.queries import MODEL_PATH
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -109,3 +111,62 @@ def test_pii_bootstrap_grows(spark):
     assert [got[i].n_added for i in (0, 36, 39)] == [0, 2, 2]
     at = rows[50].index("(")
     assert got[50].spans == f"phone:{at}:{at + 14}"
+
+
+M64 = 2**64 - 1
+
+
+def mixed(h):
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & M64
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & M64
+    return h ^ h >> 31
+
+
+def agenda(model, text, salt, dropout):
+    """Merge-dropout written plainly: each segment's best candidate by rank, then place, is made or skipped for good."""
+    symbols = [int(model.char_symbol[ord(c)]) for c in " " + text]
+    out, at = [], 0
+    while at < len(symbols):
+        end = at + 1
+        lone = lambda i: bool(model.lone[ord((" " + text)[i])])
+        while end < len(symbols) and not lone(end) and not lone(end - 1) and not ((" " + text)[end] == " " and (" " + text)[end - 1] != " "):
+            end += 1
+        key = mixed(salt ^ mixed(at + 1))
+        parts = [(i, symbols[i]) for i in range(at, end)]
+        skipped = set()
+        while True:
+            best = None
+            for k in range(len(parts) - 1):
+                (i, a), (_, b) = parts[k], parts[k + 1]
+                rank = model.merges.get((a, b))
+                if rank is not None and (i, a, b) not in skipped and (best is None or (rank, k) < best[:2]):
+                    best = rank, k, i, a, b
+            if best is None:
+                break
+            rank, k, i, a, b = best
+            if mixed(key ^ mixed((a << 32 | b) + mixed(i - at + 1) & M64)) < int(dropout * 2**64):
+                skipped.add((i, a, b))
+            else:
+                parts[k : k + 2] = [(i, int(model.piece_of_rank[rank]))]
+        out += [s for _, s in parts]
+        at = end
+    return out
+
+
+def test_dropout_by_occurrence():
+    """Every occurrence is cut by its own key, as a plain agenda cuts it."""
+    with open(MODEL_PATH, "rb") as f:
+        model = pieces.Model(f.read())
+    r = random.Random(2)
+    words = ["international", "understanding", "the", "of", "preparations", "a", "counterrevolutionaries" * 3]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(1, 12))) + r.choice(["", " ", "  x", "."]) for _ in range(60)]
+    salt = pieces.salts(np.arange(60), 5)
+    for dropout in (0.0, 0.1, 0.5):
+        ids, off = model.encode(texts, salt, dropout)
+        for i, t in enumerate(texts):
+            assert ids[off[i] : off[i + 1]].tolist() == agenda(model, t, int(salt[i]), dropout), (t, dropout)
+    ids, off = model.encode(["international"] * 2000, pieces.salts(np.arange(2000), 5), 0.5)
+    assert len({tuple(ids[a:b]) for a, b in zip(off[:-1], off[1:])}) > 500
+    ids, off = model.encode([" ".join(["international"] * 50)], pieces.salts(np.arange(1), 5), 0.5)
+    marks = np.flatnonzero([model.pieces[i][0].startswith(chr(pieces.MARK)) for i in ids])
+    assert len({tuple(x) for x in np.split(ids, marks[1:])}) > 30
