@@ -75,6 +75,59 @@ def test_measure_guards():
     assert entities.measures("6口味") == []
     assert all("81MM" != "2EDG3.81MM"[s:e] for s, e, _ in entities.measures("2EDG3.81MM"))
     assert all("256GB"[s:e] != "256G" for s, e, _ in entities.measures("256GB"))
+    assert entities.measures("180dpiｘ360dpi") == [(0, 13, "SPEC")]
+    assert entities.measures("净重 2.5 kg/箱") == [] and entities.measures("a12mm") == []
+    assert entities.measures("3 × 4 × 5 cm 8+256G 1-2-3只") == [(0, 12, "SIZE"), (13, 19, "CAPACITY"), (22, 26, "PACKAGE_COMBINATION")]
+
+
+def test_annotate_measures(spark):
+    rows = spark.createDataFrame([(1, "500ml 装"), (2, None), (3, "500ml 装"), (4, ""), (3, "2只 1kg")], "id long, text string")
+    got = sorted(tuple(r) for r in entities.annotate_measures(rows).collect())
+    assert got == [(1, 0, 5, "CAPACITY", "500ml"), (3, 0, 2, "PACKAGE_COMBINATION", "2只"), (3, 0, 5, "CAPACITY", "500ml"), (3, 3, 6, "WEIGHT", "1kg")]
+
+
+def test_viterbi_query(spark):
+    """Every order at its full length against a plain search."""
+    from lodestone.plans.entities import VITERBI_SCORES, viterbi
+
+    sf = "/root/testdata/sf0.001"
+    lines: dict = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity").collect():
+        lines.setdefault(r.l_orderkey, []).append((r.l_linenumber, r.l_quantity % 7, r.l_quantity % 5))
+    move, first, last = VITERBI_SCORES
+    got = {r.l_orderkey: r.path for r in viterbi(spark, sf).collect()}
+    assert got.keys() == lines.keys()
+    for key, rows in lines.items():
+        paths = {(t,): first[t] + float(e) for t, e in enumerate(sorted(rows)[0][1:])}
+        for row in sorted(rows)[1:]:
+            best = {}
+            for j in (0, 1):  # of equal paths the one with the lower tag before
+                best[j] = max(((s + move[p[-1]][j] + float(row[1 + j]), -p[-1], p) for p, s in paths.items()), key=lambda x: x[:2])
+            paths = {best[j][2] + (j,): best[j][0] for j in (0, 1)}
+        want = max(((s + last[p[-1]], -p[-1], p) for p, s in paths.items()), key=lambda x: x[:2])[2]
+        assert got[key] == "".join(map(str, want))
+
+
+def test_dup_groups_query(spark):
+    """All parts against union-find."""
+    from lodestone.plans.curation import dup_groups
+
+    sf = "/root/testdata/sf0.001"
+    parts = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_brand", "p_name", "p_type", "p_size").collect()
+    up = {p.p_partkey: p.p_partkey for p in parts}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    seen: dict = {}
+    for p in parts:
+        for key in ((p.p_brand, p.p_name), (p.p_name, p.p_type, p.p_size)):
+            a, b = root(seen.setdefault(key, p.p_partkey)), root(p.p_partkey)
+            up[max(a, b)] = min(a, b)
+    got = {r.id: r.grp for r in dup_groups(spark, sf).collect()}
+    assert got == {k: root(k) for k in up} and any(p.p_size in range(6, 26) and got[p.p_partkey] != p.p_partkey for p in parts)
 
 
 def test_structured(spark):
