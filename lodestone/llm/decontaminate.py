@@ -3,26 +3,31 @@
 A CGK walk reads a string step by step; at step j it writes the symbol under it and moves on only if bit j of the
 symbol's random word says so. Two strings walked with the same bits differ in few places when few edits part them.
 Sampling some steps of the walk gives a hash that such strings share; several walks bring the recall to the target.
-Symbols are words. Windows of W words stand side by side in a document, and each item is entered with its W shifts,
-so every alignment is met. Nothing is shuffled: the items, of a checked size, travel to the documents."""
+Symbols are words. Windows of W words stand side by side in a document, and each item is entered with all its shifts,
+so every window that lies within a copy may meet its item. Nothing is shuffled: the items, in indexes of a bounded
+size that lie in the shared folder, are read by the tasks that search documents."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .scratch import Scratch
 
 U64 = K.U64
 SAMPLES = 4
-MOST_REPEATS = 16
-#: Words of all items that one pass over the documents may carry; more items take more passes.
-MOST_WORDS = 2_000_000
+MOST_REPEATS = 64
+#: Words of all items of one index; more items take more indexes, each searched in a pass of its own.
+MOST_WORDS = 500_000
 _PAD = U64(0xA5A5A5A5DEADBEEF)
 
 
@@ -59,6 +64,8 @@ def _walk(h: np.ndarray, bits: np.ndarray, starts: np.ndarray, size: int, sample
     at, key = starts.copy(), np.zeros(len(starts), U64)
     word = np.empty(len(starts), U64)
     for j in range(samples[-1] + 1):
+        if j and j % 48 == 0:  # a word steers 48 steps
+            bits = K.mix(bits + U64(j))
         if j in samples:
             key = K.mix(key ^ np.where(at - starts < size, h[at], _PAD)) + U64(j)
         np.take(bits, at, out=word, mode="clip")
@@ -80,39 +87,41 @@ def _bits(h: np.ndarray, r: int) -> np.ndarray:
 class Index:
     """Items (sequences of word hashes) entered under the sampled walks of all their shifts."""
 
-    def __init__(self, items: list[np.ndarray], repeats: int, similarity: float):
-        self.items, self.repeats = items, repeats
+    def __init__(self, items: list[np.ndarray], repeats: int | dict[int, int], similarity: float):
+        """repeats of all windows, or by window size."""
+        self.items = items
         self.allowed = [int(len(x) * (1 - similarity) + 1e-9) for x in items]
-        rng = np.random.Generator(np.random.PCG64(99))
         by_size: dict[int, list[int]] = {}
         for i, x in enumerate(items):
             if len(x):
                 by_size.setdefault(window_words(len(x)), []).append(i)
         self.classes = []
         for size, members in sorted(by_size.items()):
+            rng = np.random.Generator(np.random.PCG64([99, size]))
             step, steps = size, max(1, 3 * size // 2)
             c = _Class(size, step, [], [], [], [])
             n = min(SAMPLES, steps)
             edges = np.linspace(0, steps, n + 1).astype(int)
-            for r in range(repeats):
+            for r in range(repeats if isinstance(repeats, int) else repeats[size]):
                 c.samples.append([int(rng.integers(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True)])
                 keys, who, shift = [], [], []
                 for i in members:
                     h = _padded(items[i], size)
-                    starts = np.arange(min(step, len(items[i]) - size + 1), dtype=np.int64)
+                    starts = np.arange(len(items[i]) - size + 1, dtype=np.int64)
                     keys.append(_walk(h, _bits(h, r), starts, size, c.samples[r]))
                     who.append(np.full(len(starts), i))
                     shift.append(starts)
                 k = np.concatenate(keys)
                 order = np.argsort(k, kind="stable")
                 c.keys.append(k[order])
-                c.items.append(np.concatenate(who)[order])
-                c.shifts.append(np.concatenate(shift)[order])
+                c.items.append(np.concatenate(who)[order].astype(np.int32))
+                c.shifts.append(np.concatenate(shift)[order].astype(np.int32))
             self.classes.append(c)
+        self.repeats = max((len(c.keys) for c in self.classes), default=0)
         self.masks: dict[int, tuple[dict[int, int], dict[int, int]]] = {}
 
-    def candidates(self, h: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Distinct rows (document, item, first word that the item would have) of a chunk."""
+    def candidates(self, h: np.ndarray, off: np.ndarray, only: int | None = None) -> np.ndarray:
+        """Distinct rows (document, item, first word that the item would have) of a chunk, of one repeat or of all."""
         found, counts = [], np.diff(off)
         grids = []
         for c in self.classes:
@@ -121,10 +130,10 @@ class Index:
             starts = off[doc] + c.step * (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n))
             grids.append((doc, starts))
         wide = _padded(h, max((c.size for c in self.classes), default=1))
-        for r in range(self.repeats):
+        for r in range(self.repeats) if only is None else (only,):
             bits = _bits(wide, r)
             for c, (doc, starts) in zip(self.classes, grids, strict=True):
-                if not len(starts):
+                if not len(starts) or r >= len(c.keys):
                     continue
                 key = _walk(wide, bits, starts, c.size, c.samples[r])
                 hit = np.flatnonzero(c.flags(r)[(key & U64((1 << 20) - 1)).astype(np.int64)])
@@ -199,47 +208,61 @@ def nearest(mask: dict[int, int], n: int, words: list[int], anchored: bool = Fal
     return best, end
 
 
-def calibrate(items: list[np.ndarray], similarity: float, recall: float, trials: int = 400) -> int:
-    """Repeats that find `recall` of copies with any allowed number of random edits, by trial on the items themselves."""
-    some = [x for x in items if len(x)][:trials]
-    if not some:
-        return 1
-    rng = np.random.Generator(np.random.PCG64(5))
-    docs, owners = [], []
-    for t in range(trials):
-        i = t % len(some)
-        x = some[i].tolist()
-        for _ in range(int(rng.integers(0, int(len(x) * (1 - similarity) + 1e-9) + 1))):
-            at, kind = int(rng.integers(0, len(x))), int(rng.integers(0, 3))
-            x[at : at + (kind != 0)] = [] if kind == 2 and len(x) > 1 else [int(rng.integers(0, 2**63))]
-        before = rng.integers(0, 2**63, int(rng.integers(0, 64))).tolist()
-        docs.append(np.array(before + x + rng.integers(0, 2**63, 70).tolist(), U64))
-        owners.append(i)
-    h, off = np.concatenate(docs), np.concatenate([[0], np.cumsum([len(x) for x in docs])]).astype(np.int64)
-    for repeats in range(2, MOST_REPEATS):
-        got = {(d, i) for d, i, _ in Index(some, repeats, similarity).candidates(h, off).tolist()}
-        if sum((d, i) in got for d, i in enumerate(owners)) >= recall * trials:
-            return repeats
-    return MOST_REPEATS
+def calibrate(items: list[np.ndarray], similarity: float, recall: float, trials: int = 400) -> dict[int, int]:
+    """Repeats by window size that find `recall` of copies with the most edits allowed, by trial on items spread over
+    all of that size; more repeats find more of copies with fewer edits. An error tells if MOST_REPEATS are too few."""
+    by_size: dict[int, list[np.ndarray]] = {}
+    for x in items:
+        if len(x):
+            by_size.setdefault(window_words(len(x)), []).append(x)
+    out = {}
+    for size, members in by_size.items():
+        rng = np.random.Generator(np.random.PCG64([5, size]))
+        some = [members[int(i)] for i in np.linspace(0, len(members) - 1, min(len(members), trials))]
+        docs, owners = [], []
+        for t in range(trials):
+            i = t % len(some)
+            x = some[i].tolist()
+            for _ in range(int(len(x) * (1 - similarity) + 1e-9)):
+                at, kind = int(rng.integers(0, len(x))), int(rng.integers(0, 3))
+                x[at : at + (kind != 0)] = [] if kind == 2 and len(x) > 1 else [int(rng.integers(0, 2**63))]
+            before = rng.integers(0, 2**63, int(rng.integers(0, 64))).tolist()
+            docs.append(np.array(before + x + rng.integers(0, 2**63, 70).tolist(), U64))
+            owners.append(i)
+        h, off = np.concatenate(docs), np.concatenate([[0], np.cumsum([len(x) for x in docs])]).astype(np.int64)
+        index, met = Index(some, MOST_REPEATS, similarity), np.zeros(trials, bool)
+        for r in range(MOST_REPEATS):
+            got = {(d, i) for d, i, _ in index.candidates(h, off, r).tolist()}
+            met |= np.array([(d, i) in got for d, i in enumerate(owners)])
+            if met.mean() >= recall:
+                out[size] = r + 1
+                break
+        else:
+            raise ValueError(f"{MOST_REPEATS} repeats find {met.mean():.3f} of the copies of items with windows of {size} words; {recall} are asked for")
+    return out
 
 
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
     """(id_col, item_id, first_word, end_word, distance, item_words) of each benchmark item found in each row of docs.
 
     An item is found when a stretch of the document is within (1 - similarity) * its words by word edits; the best
-    stretch is given (least distance, then first). Words part at ASCII white space, A-Z lower-cased. Null and empty
-    texts hold nothing and null, empty or blank items are never found; rows that repeat an id, or items that repeat
-    a text, are answered each; an empty benchmark gives no rows. Other columns are left alone. Items beyond
-    MOST_WORDS words are searched in further passes, each of bounded size."""
+    stretch is given (least distance, then first). recall is that of copies with the most edits allowed. Words part at
+    ASCII white space, A-Z lower-cased. Null and empty texts hold nothing and null, empty or blank items are never
+    found; rows that repeat an id, or items that repeat a text, are answered each; an empty benchmark gives no rows.
+    Other columns are left alone. Items beyond MOST_WORDS words are searched in further passes, each of bounded size;
+    indexes are files in the shared folder, of which driver and tasks hold one at a time."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"{id_col} long, item_id long, first_word long, end_word long, distance long, item_words long"
+    scratch = Scratch(spark, "items")
     parts, ids, items, carried = [], [], [], 0
 
     def close() -> None:
         nonlocal ids, items, carried
         if items:
-            parts.append(src.mapInArrow(_scan(ids, Index(items, calibrate(items, similarity, recall), similarity)), schema))
+            path = f"{scratch.path('index')}.pickle"
+            _store(path, pickle.dumps((ids, Index(items, calibrate(items, similarity, recall), similarity)), protocol=5))
+            parts.append(src.mapInArrow(_scan(path), schema))
         ids, items, carried = [], [], 0
 
     for row in rows.toLocalIterator():
@@ -260,8 +283,23 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: st
     return out
 
 
-def _scan(ids: list[int | None], index: Index):
+def _store(path: str, raw: bytes) -> None:
+    store, at = fs.FileSystem.from_uri(path)
+    store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    with store.open_output_stream(at) as out:
+        out.write(raw)
+
+
+@lru_cache(maxsize=1)
+def _load(path: str) -> tuple[list, Index]:
+    store, at = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(at) as src:
+        return pickle.loads(src.read())
+
+
+def _scan(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, index = _load(path)
         for batch in batches:
             data, off = K.text_buffers(batch.column(1))
             names = batch.column(0).to_pylist()
