@@ -54,10 +54,18 @@ def record(page_id: int | None, url: str | None, payload: bytes, sha: str, refer
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields and block of one record."""
+    """Header fields by lower-case name, and block of one record; a field may go on in lines that begin with a blank."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+    fields: dict[str, str] = {}
+    name = ""
+    for line in head.decode(errors="replace").split("\r\n")[1:]:
+        if line[:1] in " \t" and name:
+            fields[name] += " " + line.strip()
+        else:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            fields[name] = value.strip()
+    return fields, rest[: int(fields["content-length"])]
 
 
 def inflated(source) -> Iterator[bytes]:
@@ -94,10 +102,12 @@ def records(pieces: Iterator[bytes]) -> Iterator[bytes]:
             if buffer.strip():
                 raise ValueError("the archive ends within a record")
             return
-        head = bytes(buffer[:end]).decode()
+        head = bytes(buffer[:end]).decode(errors="replace")
         if not head.startswith("WARC/"):
             raise ValueError("no WARC record where one should begin")
-        length = next(int(x.split(":", 1)[1]) for x in head.split("\r\n") if x.lower().startswith("content-length:"))
+        length = next((int(x.partition(":")[2]) for x in head.split("\r\n") if x.partition(":")[0].strip().lower() == "content-length"), None)
+        if length is None:
+            raise ValueError("a WARC record does not tell its length")
         whole = end + 4 + length + 4
         if need(lambda n=whole: n if len(buffer) >= n else -1) < 0:
             raise ValueError("the archive ends within a record")
@@ -107,7 +117,8 @@ def records(pieces: Iterator[bytes]) -> Iterator[bytes]:
 
 def normalise(source: str, archive: str, index: str) -> int:
     """Inflates a whole-file stream once and rewrites each record as its own gzip member; the sidecar index holds a
-    JSON line for each record: offset and length of its member, record id, type and payload digest."""
+    JSON line for each record: offset and length of its member, record id, type and payload digest, null where a record
+    has none (warcinfo, request, metadata and others are kept like any record)."""
     store, path = _store(source)
     out_store, out_path = _store(archive)
     _, index_path = _store(index)
@@ -117,7 +128,7 @@ def normalise(source: str, archive: str, index: str) -> int:
             z = zlib.compressobj(6, zlib.DEFLATED, 31)
             member = z.compress(raw) + z.flush()
             fields, _ = parse(raw)
-            line = {"offset": at, "length": len(member), "id": fields["WARC-Record-ID"], "type": fields["WARC-Type"], "digest": fields["WARC-Payload-Digest"]}
+            line = {"offset": at, "length": len(member), "id": fields.get("warc-record-id"), "type": fields.get("warc-type"), "digest": fields.get("warc-payload-digest")}
             out.write(member)
             side.write((json.dumps(line) + "\n").encode())
             at += len(member)
@@ -198,12 +209,15 @@ def _read(batches):
         for archive, index in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             rows = []
             for fields, block in read(archive, index):
+                kind = fields.get("warc-type")
+                if kind not in ("response", "revisit"):
+                    continue
                 head, _, payload = block.partition(b"\r\n\r\n")
                 size = int(head.rpartition(b"Content-Length: ")[2])
-                sha, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
+                sha = fields["warc-payload-digest"].removeprefix("sha1:")
                 if kind == "response" and (len(payload) != size or digest(payload) != sha):
-                    raise ValueError(f"{fields['WARC-Record-ID']}: the payload does not match its digest")
-                rows.append((_page(fields["WARC-Record-ID"]), size, sha, kind, _page(fields["WARC-Refers-To"]) if kind == "revisit" else None))
+                    raise ValueError(f"{fields['warc-record-id']}: the payload does not match its digest")
+                rows.append((_page(fields["warc-record-id"]), size, sha, kind, _page(fields["warc-refers-to"]) if kind == "revisit" else None))
                 if len(rows) == 5000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                     rows = []

@@ -1,11 +1,15 @@
 """The llm operators do the whole of their job: cases that earlier cuts lost, against independent brute force."""
 
+import gzip
+import json
+import math
 import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.llm import pieces, pii
+from lodestone.llm import decontaminate, html_text, pieces, pii, quality, warc
+from lodestone.llm.html_text import main_text
 from lodestone.llm.line_dedup import _set, _shingle_hashes, dedup_lines
 from lodestone.llm.queries import MODEL_PATH
 
@@ -170,3 +174,128 @@ def test_dropout_by_occurrence():
     ids, off = model.encode([" ".join(["international"] * 50)], pieces.salts(np.arange(1), 5), 0.5)
     marks = np.flatnonzero([model.pieces[i][0].startswith(chr(pieces.MARK)) for i in ids])
     assert len({tuple(x) for x in np.split(ids, marks[1:])}) > 30
+
+
+PARA = "<p>" + "plain words of the article go on here " * 12 + "</p>"
+
+
+def test_html_contract_cases():
+    text = " ".join(["plain words of the article go on here"] * 12)
+    assert main_text("<html><head><title>T</title><body><p>hello") == "hello"
+    assert main_text(f'<nav>menu</nav><div class="content no-sidebar">{PARA}</div>') == text
+    assert main_text(f'<main><section class="widget">{PARA}</section></main>') == text
+    assert main_text(f'<div><div class="article-header"><h1>Title</h1></div>{PARA}</div>') == "Title\n\n" + text
+    assert main_text(f"<form><nav>menu</nav><h1>Head</h1>{PARA}<footer>foot</footer></form>") == "Head\n\n" + text
+    # reader comments stay furniture, however dense they are
+    assert main_text(f'<article>{PARA}<div id="comments">{PARA * 6}</div></article>') == text
+    # depth costs no more than length; the region is the smallest element with nine tenths of the text
+    assert main_text("<div>x" * 20_000).count("x") == 18_000
+
+
+def test_html_clusters_decide(monkeypatch):
+    """On a page of unmarked elements it is density that tells the article from lists of links."""
+    links_ = "<ul>" + "".join(f"<li><a href='#'>Link {i}</a></li>" for i in range(30)) + "</ul>"
+    page = f"<body><div>{links_}{PARA * 4}{links_}</div></body>"
+    kept = main_text(page).count("Link")
+    monkeypatch.setattr(html_text, "_clusters", lambda ratio: [True] * len(ratio))
+    assert kept <= 4 and main_text(page).count("Link") == 60
+
+
+def test_html_clusters_plainly():
+    r = random.Random(3)
+    for _ in range(50):
+        ratio = [r.choice([0.0, r.uniform(0, 200)]) for _ in range(r.randint(1, 30))]
+        soft = []
+        for i in range(len(ratio)):
+            weight = {j: math.exp(-((i - j) ** 2) / 4.5) for j in range(len(ratio)) if abs(i - j) <= 2}
+            soft.append(sum(ratio[j] * w for j, w in weight.items()) / sum(weight.values()))
+        mean = sum(soft) / len(soft)
+        sd = (sum((x - mean) ** 2 for x in soft) / len(soft)) ** 0.5
+        assert all(got == (x >= sd / 2) for got, x in zip(html_text._clusters(ratio), soft) if abs(x - sd / 2) > 1e-9)
+
+
+def test_warc_of_other_writers(tmp_path):
+    """Records of any type, header names in any case and spacing, folded and missing fields."""
+    rows = [b"WARC/1.0\r\nwarc-type:warcinfo\r\nContent-Length:  3\r\n\r\nabc\r\n\r\n", b"WARC/1.1\r\nWARC-Type: request\r\nX-Long: a\r\n  b\r\ncontent-length: 0\r\n\r\n\r\n\r\n", b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <x>\r\nCONTENT-LENGTH: 2\r\n\r\n\r\n\r\n\r\n"]
+    source = f"{tmp_path}/in.warc.gz"
+    with gzip.open(source, "wb") as f:
+        f.write(b"".join(rows))
+    assert warc.normalise(source, f"{tmp_path}/out.warc.gz", f"{tmp_path}/out.idx") == 3
+    got = list(warc.read(f"{tmp_path}/out.warc.gz", f"{tmp_path}/out.idx"))
+    assert [(f["warc-type"], block) for f, block in got] == [("warcinfo", b"abc"), ("request", b""), ("metadata", b"\r\n")]
+    assert got[1][0]["x-long"] == "a b"
+    index = [json.loads(x) for x in open(f"{tmp_path}/out.idx")]
+    with open(f"{tmp_path}/out.warc.gz", "rb") as f:
+        raw = f.read()
+    assert [gzip.decompress(raw[x["offset"] : x["offset"] + x["length"]]) for x in index] == rows
+    assert [x["id"] for x in index] == [None, None, "<x>"]
+
+
+def test_leaks_against_all_places(spark):
+    """Copies with the most edits allowed, at any place, against edit distance at every place of every document."""
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    items = [[r.choice(words) for _ in range(n)] for n in (5, 9, 14, 20, 33, 48, 70, 120)]
+    docs = []
+    for k in range(96):
+        x = list(items[k % 8])
+        for _ in range(int(len(x) * 0.2) if k % 3 else 0):
+            at, kind = r.randrange(len(x)), r.randrange(3)
+            x[at : at + (kind != 0)] = [] if kind == 2 else [r.choice(words)]
+        docs.append([r.choice(words) for _ in range(r.randrange(90))] + x + [r.choice(words) for _ in range(r.randrange(90))])
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.distance for x in decontaminate.leaks(spark, frame, bench).collect()}
+
+    def least(item, doc):
+        row = [0] * (len(doc) + 1)
+        for i, a in enumerate(item, 1):
+            new = [i]
+            for j, b in enumerate(doc, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+            row = new
+        return min(row)
+
+    true = {(d, i): cost for d, doc in enumerate(docs) for i, item in enumerate(items) if (cost := least(item, doc)) <= int(len(item) * 0.2 + 1e-9)}
+    assert set(got) <= set(true) and all(got[k] == true[k] for k in got)
+    exact = [k for k, cost in true.items() if not cost]
+    assert len(true) >= 90 and len(got) >= 0.95 * len(true) and all(k in got for k in exact)
+
+
+def test_co_training_exchange():
+    """What the text knows reaches the metadata view by unlabelled rows alone."""
+    r = np.random.default_rng(4)
+    y = r.integers(0, 2, 400).astype(float)
+    places = np.where(np.arange(400) % 2, 0, 1)  # of labelled rows the metadata tells nothing
+    text = np.stack([y * 4 + r.normal(size=400), r.normal(size=400)], 1)
+
+    class Loose(quality.Unlabelled):
+        def __init__(self):
+            pass
+
+        def sure_by_text(self, view):
+            bad = quality._sigmoid(view.logit(np.array([[5.0, 0.0]])))[0] > 0.97
+            return [(5, True, 300), (6, False, 300)] if bad else []
+
+        def sure_by_meta(self, view):
+            return []
+
+    known = (text, quality.metadata_features(places))
+    alone, taught = (quality.co_train(np.zeros(0, np.uint64), known, y, x) for x in (None, Loose()))
+    assert alone.taught == {"meta": (0, 0), "text": (0, 0)} and taught.taught["meta"] == (300, 300)
+    gap = lambda m: np.diff(m.meta.raw(quality.metadata_features(np.array([6, 5]))))[0]
+    assert abs(gap(alone)) < 0.2 and gap(taught) > 1
+
+
+def test_distributed_sums(spark):
+    """Newton sums over partitions are those of all rows at once."""
+    r = np.random.default_rng(5)
+    dense, bits, meta = r.normal(size=(90, len(quality.DENSE))), r.integers(0, 2, (90, 11)), r.integers(0, 4, 90)
+    rows = [(dense[i].tobytes(), np.packbits(bits[i].astype(bool)).tobytes(), int(meta[i])) for i in range(90)]
+    loose = quality.Unlabelled(spark.createDataFrame(rows, "dense binary, bits binary, meta int").repartition(5), 11)
+    mean, scale, w = r.normal(size=20), r.uniform(1, 2, 20), r.normal(size=21)
+    bend, slope = loose.sums({1: (1.0, 0.5), 3: (0.0, 0.25)})(mean, scale)(w)
+    some = np.isin(meta, [1, 3])
+    x = np.hstack([(np.hstack([dense, bits])[some] - mean) / scale, np.ones((some.sum(), 1))])
+    want = quality.newton_sums(x, (meta[some] == 1).astype(float), np.where(meta[some] == 1, 0.5, 0.25), w)
+    assert np.allclose(bend, want[0]) and np.allclose(slope, want[1])
