@@ -1,33 +1,38 @@
-"""Fuzzy duplicate lines with DataFrame functions alone: MinHash signatures of character shingles, banding, exact
-Jaccard confirmation, components by joins; one line of each component stays.
+"""Fuzzy duplicate lines: MinHash of character shingles, banding, exact Jaccard confirmation, components by joins; one
+line of each component stays.
 
-Equal lines are one kind before anything is hashed. A shingle is WIDTH characters at every offset. A kind's signature
-is the least and the greatest value of HASHES independent hashes. Of a long line it is taken over those shingles whose
-own hash ends in s zero bits, s growing by one as the line doubles, so a signature costs alike at every length; lines
-near a doubling are entered at both s, so lines that are alike meet at one s at least. What bands bring together is
-confirmed on the full sets of shingles."""
+Signatures are made in Arrow batches; all else is DataFrame functions. The native form of the signatures (explode every
+shingle, group by line, minima and maxima of 20 hashes) gave whole results but did not meet the limits of CPU and disk;
+the README has its figures. A shingle is WIDTH characters at every offset, and every shingle counts. A signature has the
+least hash of each of BINS parts of the hash range; an empty part takes the value of another, chosen by a hash of the
+part's number, so that short lines agree as often as their sets do. What bands bring together is confirmed on the full
+sets of shingles."""
 
 from __future__ import annotations
 
-import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .links import link
 from .scratch import MOST_BROADCAST, Scratch, semi_join, small_side
 
+U64 = K.U64
 #: Characters of a shingle; a shorter line is its own shingle.
 WIDTH = 5
-#: Hashes, each giving two values; bands of ROWS values, drawn anew from all values for each round of bands.
-HASHES, BANDS, ROWS = 20, 16, 6
-#: Shingles from which a line's signature is taken of a part of them: BASE to 2 * BASE shingles are looked at.
-BASE = 64
+#: Values of a signature, and how many make a band: 16 bands, of which a pair at 0.8 shares none 8 times in a thousand.
+BINS, ROWS = 96, 6
 #: Words of 64 cells that hold the parities of a line's shingles.
 WORDS = 16
-#: Share of the shingles of a line that must be distinct, or its set is taken apart to choose s.
-VARIED = 0.6
+#: Characters that are signed at a time.
+CHUNK = 1 << 19
+_EMPTY = np.uint32(0xFFFFFFFF)
+_PLACE = np.random.Generator(np.random.PCG64(31)).integers(0, 2**63, WIDTH, dtype=U64) * U64(2) + U64(1)
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -50,34 +55,67 @@ def _set(line: Column) -> Column:
     return let(F.encode(line, "UTF-32"), lambda wide: F.array_distinct(F.transform(F.sequence(F.lit(0), _last(line)), lambda at: _hash(wide, at))))
 
 
-def _shingle_hashes(lines: DataFrame, *keys: str) -> DataFrame:
-    """(keys, at, h) of every shingle of the column line."""
-    wide = lines.select(*keys, _last(F.col("line")).alias("_last"), F.encode("line", "UTF-32").alias("_wide"))
-    spots = wide.select(*keys, "_wide", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("at"))
-    return spots.select(*keys, "at", _hash(F.col("_wide"), F.col("at")).alias("h"))
-
-
-def _levels(size: Column) -> Column:
-    """The s at which a set of this size is signed, its own first."""
-    own = F.length(F.bin((size / BASE).cast("long"))) - 1
-    below = (own > 0) & (size * 4 <= F.pow(F.lit(2.0), own) * (5 * BASE))
-    return F.when(below, F.array(own, own - 1)).otherwise(F.array(own))
-
-
-def _signed(hashes: DataFrame, *keys: str) -> DataFrame:
-    """(keys, s, bands, unseen: mean share of the hash range below the values) from (keys, s, h); a null h is no shingle."""
-    draw = random.Random(17)
-    salts = [draw.getrandbits(64) - 2**63 for _ in range(HASHES)]
-    seen = [F.when(F.col("h").isNotNull(), F.xxhash64(F.col("h").bitwiseXOR(F.lit(c).cast("long")))) for c in salts]
-    made = hashes.groupBy(*keys, "s").agg(*[x for i, v in enumerate(seen) for x in (F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"))])
-    names = [f"{end}{i}" for i in range(HASHES) for end in ("lo", "hi")]
-    bands: list[Column] = []
-    while len(bands) < BANDS:
-        order = draw.sample(names, len(names))
-        bands += [F.xxhash64(F.lit(len(bands) + k), "s", *order[at : at + ROWS]) for k, at in enumerate(range(0, len(order) - ROWS + 1, ROWS))]
-    share = lambda n: (1 if n.startswith("lo") else -1) * F.col(n).cast("double") / 2.0**64 + 0.5
-    unseen = sum((share(n) for n in names[1:]), share(names[0])) / len(names)
-    return made.select(*keys, "s", F.array(*bands[:BANDS]).alias("bands"), unseen.alias("unseen"))
+def signatures(lines: list[str]) -> np.ndarray:
+    """(lines, BINS) of lines that are not empty."""
+    full = [x if len(x) >= WIDTH else x.ljust(WIDTH, "\0") for x in lines]
+    lens = np.array([len(x) for x in full])
+    points = np.frombuffer("".join(full).encode("utf-32-le"), np.uint32).astype(U64)
+    ends = np.cumsum(lens)
+    whole = np.ones(len(points), bool)
+    for k in range(1, WIDTH):
+        whole[ends - k] = False
+    n = len(points) - WIDTH + 1
+    h = points[:n] * _PLACE[0]
+    for j in range(1, WIDTH):
+        h += points[j : n + j] * _PLACE[j]
+    whole = whole[:n]
+    h = K.mix(h[whole])
+    part = ((h >> U64(32)) * U64(BINS) >> U64(32)).astype(np.int64)
+    out = np.full(len(lines) * BINS, _EMPTY)
+    np.minimum.at(out, np.repeat(np.arange(len(lines)) * BINS, lens)[:n][whole] + part, h.astype(np.uint32))
+    out = out.reshape(-1, BINS)
+    given = out.copy()
+    row, col = np.nonzero(out == _EMPTY)
+    turn = 0
+    while len(row):
+        turn += 1
+        other = (K.mix(col.astype(U64) + U64(turn * BINS)) % U64(BINS)).astype(np.int64) if turn < 200 else (col + turn) % BINS
+        out[row, col] = given[row, other]
+        left = out[row, col] == _EMPTY
+        row, col = row[left], col[left]
+    return out
+
+
+def _sign(seeds: tuple[int, int]):
+    """Rows (doc, text) to (doc, no, k1, k2, bands) of their lines; the keys are Spark's xxhash64 with these seeds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, numbers, lines, size = [], [], [], 0
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for no, line in enumerate((text or "").split("\n")):
+                    if line := line.strip(" "):
+                        docs.append(doc)
+                        numbers.append(no)
+                        lines.append(line)
+                        size += len(line)
+                        if size >= CHUNK:
+                            yield _signed(docs, numbers, lines, seeds)
+                            docs, numbers, lines, size = [], [], [], 0
+            if lines:
+                yield _signed(docs, numbers, lines, seeds)
+
+    return run
+
+
+def _signed(docs: list[int], numbers: list[int], lines: list[str], seeds: tuple[int, int]) -> pa.RecordBatch:
+    place: dict[str, int] = {}
+    at = np.array([place.setdefault(x, len(place)) for x in lines])
+    raw = [x.encode() for x in place]
+    keys = [np.array([xxhash.xxh64_intdigest(x, seed) for x in raw], U64)[at] for seed in seeds]
+    bands = K.bands(signatures(list(place)), ROWS)[at]
+    off = np.arange(len(lines) + 1) * bands.shape[1]
+    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), *map(K.longs, keys), K.list_of(bands.reshape(-1), off)], ["doc", "no", "k1", "k2", "bands"])
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -87,31 +125,16 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return src.select("doc", "no", F.trim("line").alias("line")).where("line <> ''")
 
 
-def _kinds(lines: DataFrame, scratch: Scratch, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, k1, k2, doc, no, again, size, s, bands, own) of distinct lines: the first place, whether there are others,
-    and a row for each s at which the kind is signed, own for its own s."""
-    # one text of equal lines is left before the shuffle, and signing needs no other: it groups by the same keys
-    once = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "no")).alias("at"), (F.count("*") > 1).alias("again"), F.first("line").alias("line"))
-    once = once.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "at.doc", "at.no", "again", "line", (_last(F.col("line")) + 1).alias("size"))
-    keys = ("node", "k1", "k2", "doc", "no", "again", "size")
-    entered = once.select(*keys, "line", F.posexplode(_levels(F.col("size"))).alias("below", "s"))
-    thin = F.expr("h & (shiftleft(1L, s) - 1) = 0")
-    # the first shingle stands for the line where no shingle is looked at
-    hashes = _shingle_hashes(entered, *keys, "below", "s").where(thin | (F.col("at") == 0)).withColumn("h", F.when(thin, F.col("h")))
-    signed = scratch.cut(_signed(hashes, *keys, "below"), "signed")
+def _kinds(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(node, k1, k2, doc, no, again, bands) of distinct lines: the first place, and whether there are others."""
+    doc = F.col(id_col).cast("long")
+    src = docs.where(doc.isNotNull()).select(doc.alias("doc"), F.col(text_col).cast("string").alias("text"))
+    second = spark.range(1).select(F.xxhash64(F.lit(1))).first()[0] % 2**64
+    lines = src.mapInArrow(_sign((42, second)), "doc long, no int, k1 long, k2 long, bands array<long>")
+    once = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "no")).alias("at"), (F.count("*") > 1).alias("again"), F.first("bands").alias("bands"))
+    kinds = scratch.cut(once.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "at.doc", "at.no", "again", "bands"), "kinds")
     scratch.release()
-    # lines that repeat themselves have smaller sets than their length tells: those take the s of their set
-    nominal = F.col("size") / F.pow(F.lit(2.0), F.col("s"))
-    alike = (F.col("size") >= 2 * BASE) & (F.col("unseen").isNull() | (1 / F.col("unseen") - 1 < VARIED * nominal))
-    flagged = scratch.cut(signed.where(alike).select(*keys).distinct(), "flagged")
-    shape = lambda rows: rows.select(*keys, "s", "bands", (F.col("below") == 0).alias("own"))
-    if not flagged.limit(1).count():
-        return shape(signed)
-    full = texts_of(flagged).select(*keys, _set(F.col("line")).alias("all"))
-    full = full.select(*keys, "all", F.posexplode(_levels(F.size("all"))).alias("below", "s"))
-    hashes = full.select(*keys, "below", "s", F.posexplode("all").alias("at", "h")).where(thin | (F.col("at") == 0)).withColumn("h", F.when(thin, F.col("h")))
-    again = scratch.cut(shape(_signed(hashes, *keys, "below")), "signed")
-    return shape(signed.join(small_side(flagged.select("node")), "node", "left_anti")).union(again)
+    return kinds
 
 
 def _parities(texts: DataFrame) -> DataFrame:
@@ -142,13 +165,13 @@ def removed_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         some = semi_join(docs.select(F.col(id_col).cast("long").alias("_owner"), F.col(text_col).alias("_text")), owners, "_owner")
         return lines_of(some, "_owner", "_text").join(small_side(wanted), ["doc", "no"]).where(F.xxhash64("line") == F.col("k1")).dropDuplicates(["node"])
 
-    kinds = _kinds(keyed, scratch, texts_of)
+    kinds = _kinds(spark, docs, id_col, text_col, scratch)
     side: dict[str, DataFrame] = {}
 
     def prepare(pairs: DataFrame) -> None:
         """Texts and parities of the members of shared buckets, which the first pairs name."""
         nodes = scratch.cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
-        wanted = scratch.cut(kinds.where("own").select("node", "k1", "doc", "no").join(small_side(nodes), "node", "left_semi"), "wanted")
+        wanted = scratch.cut(kinds.select("node", "k1", "doc", "no").join(small_side(nodes), "node", "left_semi"), "wanted")
         side["texts"] = scratch.cut(texts_of(wanted).select("node", "line"), "texts")
         side["odd"] = scratch.cut(_parities(side["texts"]), "parities")
 
@@ -178,7 +201,7 @@ def removed_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     buckets = kinds.select(F.explode("bands").alias("bucket"), F.col("node").alias("id"), F.lit(1).alias("size"))
     label = link(buckets, verify, scratch, percent, blocks, large=0)
     # only kinds that stand twice, or that gave way to another, lose lines
-    own = kinds.where("own").select("node", "k1", "k2", "again", F.struct("doc", "no").alias("at"))
+    own = kinds.select("node", "k1", "k2", "again", F.struct("doc", "no").alias("at"))
     own = scratch.cut(own.join(label.select(F.col("id").alias("node"), "component"), "node", "left").where("again or component is not null"), "own")
     least = own.where("component is not null").groupBy("component").agg(F.min("at").alias("least"))
     kept = own.join(least, "component", "left").select("k1", "k2", F.coalesce("least", "at").alias("stays"))

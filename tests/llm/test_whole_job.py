@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, html_text, pieces, pii, quality, warc
 from lodestone.llm.html_text import main_text
-from lodestone.llm.line_dedup import _set, _shingle_hashes, dedup_lines
+from lodestone.llm.line_dedup import _kinds, _set, dedup_lines, signatures
 from lodestone.llm.queries import MODEL_PATH
+from lodestone.llm.scratch import Scratch
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -50,12 +51,31 @@ def test_line_dedup_near_copies(spark):
 
 
 def test_line_shingles(spark):
-    """What is signed is what is compared: every shingle at every offset, of wide characters too."""
+    """Every shingle at every offset is compared, of wide characters too; lines have the same keys everywhere."""
     rows = [(n, "".join(chr(0x1F600 + i % 50) if i % 7 == 0 else chr(0x4E00 + (7 * i * i + n) % 300) if i % 3 else "x" for i in range(n))) for n in (1, 4, 5, 6, 63, 64, 65, 128, 500, 5000)]
     lines = spark.createDataFrame(rows, "id long, line string")
-    signed = {x.id: set(x.h) for x in _shingle_hashes(lines, "id").groupBy("id").agg(F.collect_set("h").alias("h")).collect()}
-    compared = {x.id: set(x.s) for x in lines.select("id", _set(F.col("line")).alias("s")).collect()}
-    assert signed == compared and {n: len(s) for n, s in compared.items()} == {n: len(grams(line)) for n, line in rows}
+    compared = {x.id: len(x.s) for x in lines.select("id", _set(F.col("line")).alias("s")).collect()}
+    assert compared == {n: len(grams(line)) for n, line in rows}
+    # the keys of lines that Python signs are those that Spark makes
+    docs = lines.select(F.col("id").alias("doc_id"), F.col("line").alias("text"))
+    kinds = _kinds(spark, docs, "doc_id", "text", Scratch(spark, "test"))
+    want = {(x.k1, x.k2): x.id for x in lines.select("id", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2")).collect()}
+    assert {(x.k1, x.k2): x.doc for x in kinds.collect()} == want
+
+
+def test_line_signatures():
+    """Values of two lines agree as often as their sets of shingles do, for short lines too."""
+    r = random.Random(8)
+    for n in (8, 12, 30, 200, 1500):
+        agreed = likeness = 0.0
+        for _ in range(60):
+            a = [r.choice(LETTERS) for _ in range(n)]
+            b = a[: n - max(1, n // 12)] + [r.choice(LETTERS) for _ in range(max(1, n // 12))]
+            a, b = "".join(a), "".join(b)
+            x, y = signatures([a, b])
+            agreed += (x == y).mean()
+            likeness += len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+        assert abs(agreed - likeness) / 60 < 0.05, n
 
 
 def test_line_dedup_recall_by_length(spark):
