@@ -61,4 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = scratch.cut(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+        scratch.release()  # the driver and the disks need not hold the plans and shuffles of a stage that is done
     return STAGES[-1][1](spark, docs, sf_dir)
