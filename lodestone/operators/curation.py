@@ -107,6 +107,35 @@ def stratified(rows: DataFrame, stratum: str, key: Column, n: int, seed: str = "
     return out.withColumn("_r", F.row_number().over(W.partitionBy(stratum).orderBy("sample_hash"))).where("_r <= quota").drop("_r")
 
 
+def sample(rows: DataFrame, stratum: str, key: Column, n: int, cap: int | None = None, seed: str = "42") -> DataFrame:
+    """n rows: of each stratum its share (at least one), topped up by hash from what is left; or with `cap` rows of a
+    stratum at most and no top-up. Within 2 n ranks of a stratum lies all that can be taken, so no stratum is sorted whole."""
+    hashed = rows.withColumn("sample_hash", stable_hash(seed, key))
+    ranked = hashed.withColumn("_r", F.row_number().over(W.partitionBy(stratum).orderBy("sample_hash"))).where(F.col("_r") <= (cap or 2 * n))
+    if cap:
+        return ranked.drop("_r").orderBy("sample_hash").limit(n)
+    counts = rows.groupBy(stratum).agg(F.count("*").alias("_size"))
+    total = counts.agg(F.sum("_size").alias("_all"))
+    quota = counts.crossJoin(F.broadcast(total)).select(stratum, F.greatest(F.lit(1), F.bround(F.lit(float(n)) * F.col("_size") / F.col("_all")).cast("int")).alias("_quota"))
+    return ranked.join(quota, stratum).orderBy(F.col("_r") > F.col("_quota"), "sample_hash").limit(n).drop("_r", "_quota")
+
+
+def compact(rows: DataFrame, private: list[str], keep: list[str] | None = None) -> DataFrame:
+    """rows as (id, text, meta): meta is JSON of the other columns, without private ones, blanks, nulls and empty lists;
+    columns of `keep` stay even when empty."""
+    keep = keep or []
+    own = [f for f in rows.schema.fields if f.name not in {"id", "text", *private}]
+
+    def value(f) -> Column:
+        c = F.col(f.name)
+        if f.name in keep:
+            return c
+        kind = f.dataType.typeName()
+        return F.when(F.trim(c) != "", F.trim(c)) if kind == "string" else F.when(F.size(c) > 0, c) if kind == "array" else c
+
+    return rows.select(F.col("id").cast("string").alias("id"), "text", F.to_json(F.struct(*[value(f).alias(f.name) for f in own])).alias("meta"))
+
+
 def capped(rows: DataFrame, order: str, caps: list[tuple[str, int]], pool: int) -> DataFrame:
     """Rows in order, each taken unless one of its keys has used up its cap; a skipped row uses up nothing.
 

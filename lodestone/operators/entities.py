@@ -147,6 +147,41 @@ def entity_clauses(spark: SparkSession, requests: DataFrame) -> DataFrame:
     return numbered.join(msm, "q").select("q", "clause", "grp", "occur", "kind", "field", "text", "boost", "msm")
 
 
+#: Boosts of clauses on normalised ids and on synonyms.
+ID_BOOST, SYNONYM_BOOST = 60.0, 0.5
+
+
+def request_clauses(spark: SparkSession, requests: DataFrame, exclusions: DataFrame | None = None, id_fields: dict[str, str] | None = None) -> DataFrame:
+    """All clauses of requests (q, query, residual, entities, synonyms), as entity_clauses gives them and besides:
+    accessory phrases of a CATEGORY, of exclusions (category, position, term), are must_not on the title; ids that
+    entities were normalised to (fields normalized_id, normalized_type) are terms of the type's field, never needed;
+    synonyms are should on the title. A request without entities asks its whole query on the title."""
+    named = F.filter("entities", lambda e: (F.trim(e["text"]) != "") & (F.trim(e["label"]) != ""))
+    rows = requests.withColumn("entities", F.coalesce(named, F.filter("entities", lambda e: F.lit(False)))).withColumn("_plain", F.coalesce(F.size("entities") <= 0, F.lit(True)))
+    base = rows.withColumn("residual", F.when(F.col("_plain"), F.col("query")).otherwise(F.col("residual")))
+    known = base.withColumn("entities", F.transform(F.coalesce("entities", F.array().cast(requests.schema["entities"].dataType)), lambda e: F.struct(e["label"].alias("label"), e["text"].alias("text"))))
+    out = entity_clauses(spark, known.select("q", "residual", "entities"))
+    columns = ["q", "grp", "occur", "kind", "field", "text", "boost"]
+
+    def more(of: DataFrame, grp: Column, occur: str, kind: str, field: Column, text: Column, boost: float) -> DataFrame:
+        return of.select("q", grp.cast("int").alias("grp"), F.lit(occur).alias("occur"), F.lit(kind).alias("kind"), field.alias("field"), text.alias("text"), F.lit(boost).alias("boost")).where("trim(text) <> '' and field is not null")
+
+    each = rows.select("q", F.posexplode("entities").alias("at", "e"))
+    # groups of the added clauses lie behind those of the entities, so that each of them counts by itself
+    extra = more(rows.select("q", F.posexplode("synonyms").alias("at", "s")), 200000 + F.col("at"), "should", "match", F.lit("title"), F.col("s"), SYNONYM_BOOST)
+    if exclusions is not None:
+        banned = each.where("e.label = 'CATEGORY'").select("q", F.col("e.text").alias("category")).distinct().join(exclusions, "category")
+        extra = extra.union(more(banned, 300000 + F.col("position"), "must_not", "phrase", F.lit("title"), F.col("term"), 1.0))
+    kind = requests.schema["entities"].dataType.elementType
+    if id_fields and "normalized_id" in kind.names:
+        field = F.create_map(*[x for k, v in id_fields.items() for x in (F.lit(k), F.lit(v))])[F.col("e.normalized_type")]
+        extra = extra.union(more(each, 100000 + F.col("at"), "should", "term", field, F.col("e.normalized_id"), ID_BOOST))
+    msm = out.groupBy("q").agg(F.max("msm").alias("msm"))
+    rows_of = out.select(*columns).union(extra.select(*columns)).join(msm, "q", "left")
+    numbered = rows_of.withColumn("clause", F.row_number().over(W.partitionBy("q").orderBy("grp", "field", "kind", "text")))
+    return numbered.select("q", "clause", "grp", "occur", "kind", "field", "text", "boost", "msm")
+
+
 def normalise_entities(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """entities (id, label, text) with normalized text, id and type by (label, alias); n匹 becomes n HP."""
     known = aliases.select("label", normalize(F.col("alias")).alias("_key"), "canonical", "business_id", "id_type")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,6 +95,62 @@ def split_groups(groups: DataFrame, shares: dict[str, float], seed: str = "42")
     return placed.select("grp", F.coalesce(out, F.lit(list(shares)[-1])).alias("split"), "n")
 
 
+def _fill(room: dict[str, float], size: int, groups: int) -> dict[str, int]:
+    """How many of `groups` groups of one size each split gets when each goes to the split with most room left (ties:
+    the first named). All places above a level are taken whatever the order, so the level is searched, not walked to; the
+    last steps are walked, where ties matter."""
+    def above(level: float) -> dict[str, int]:
+        return {k: max(0, math.ceil((r - level) / size) - 1) for k, r in room.items()}
+
+    low, high = min(room.values()) - size * (groups + 1), max(room.values())
+    while high - low > size / 4:
+        middle = (low + high) / 2
+        low, high = (low, middle) if sum(above(middle).values()) <= groups else (middle, high)
+    taken = above(high)
+    for k, n in taken.items():
+        room[k] -= n * size
+    for _ in range(groups - sum(taken.values())):
+        k = max(room, key=room.__getitem__)
+        room[k] -= size
+        taken[k] += 1
+    return taken
+
+
+def pack_groups(groups: DataFrame, shares: dict[str, float], seed: str = "42", hold_out: bool = False) -> DataFrame:
+    """(grp, split, n) of groups (grp, gold): the largest first, each to the split that lacks most rows; gold groups
+    (all rows gold) go ahead of the others. hold_out gives other groups to the first split and gold ones to the rest.
+
+    Groups of one size are alike, so the driver sees a count for each size (of N rows at most sqrt(2 N) sizes) and
+    sets how many of a size go where; which ones is by hash, through sums of hash slices."""
+    sized = groups.groupBy("grp").agg(F.count("*").alias("n"), F.min(F.coalesce("gold", F.lit(False))).alias("gold"))
+    sized = sized.withColumn("slice", F.pmod(F.xxhash64("grp"), F.lit(64)))
+    counts = sized.groupBy("gold", "n").agg(F.count("*").alias("c")).collect()
+    total, golden = sum(r.n * r.c for r in counts), sum(r.n * r.c for r in counts if r.gold)
+    names = list(shares)
+    room = {k: v * total for k, v in shares.items()}
+    hold_out = hold_out and golden < total
+    if hold_out:
+        rest = sum(shares[k] for k in names[1:])
+        if golden and rest <= 0:
+            raise ValueError("held-out splits need a share")
+        room |= {k: golden * shares[k] / rest if rest else 0.0 for k in names[1:]}
+    plan = []
+    for r in sorted(counts, key=lambda r: (not r.gold, -r.n)):
+        open_to = names if not hold_out else names[1:] if r.gold else names[:1]
+        own = {k: room[k] for k in open_to}
+        at = 0
+        for k, c in _fill(own, r.n, r.c).items():
+            plan.append((r.gold, r.n, k, at, at + c))
+            at += c
+        room |= own
+    ranges = groups.sparkSession.createDataFrame(plan, "gold boolean, n long, split string, lo long, hi long")
+    order = W.partitionBy("gold", "n", "slice").orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("grp").cast("string"))), "grp")
+    slices = sized.groupBy("gold", "n", "slice").agg(F.count("*").alias("c"))
+    before = slices.withColumn("before", F.sum("c").over(W.partitionBy("gold", "n").orderBy("slice")) - F.col("c")).drop("c")
+    placed = sized.withColumn("r", F.row_number().over(order)).join(before, ["gold", "n", "slice"]).withColumn("at", F.col("before") + F.col("r") - 1)
+    return placed.join(ranges, ["gold", "n"]).where("at >= lo and at < hi").select("grp", "split", "n")
+
+
 def leaks(rows: DataFrame, group: str = "grp", split: str = "split") -> DataFrame:
     """Groups that lie in several splits."""
     return rows.groupBy(group).agg(F.count_distinct(split).alias("splits")).where("splits > 1")

@@ -127,6 +127,43 @@ def merge_annotations(rows: DataFrame, adjudicated: DataFrame) -> DataFrame:
     return done.select("id", F.when(F.col("n") == 1, "silver_single").when(F.col("kinds") == 1, "gold_agreement").when(F.col("_d"), "gold_adjudicated").otherwise("unresolved").alias("status"))
 
 
+def merge_adjudicated(rows: DataFrame, adjudicated: DataFrame) -> DataFrame:
+    """(id, status, spans, error) of rows (id, text, spans) and adjudicated (id, text, spans): equal or single answers
+    stay, conflicts take the adjudicated row. error: MISSING (conflict without one), SEVERAL (more than one), TEXT_MISMATCH,
+    UNUSED (an adjudicated row without a conflict)."""
+    spans = F.array_sort("spans")
+    one = rows.groupBy("id").agg(F.count("*").alias("n"), F.count_distinct(F.to_json(spans)).alias("kinds"), F.collect_set("text").alias("texts"), F.min(F.struct(F.to_json(spans).alias("k"), spans.alias("spans"))).alias("own"))
+    told = adjudicated.groupBy("id").agg(F.count("*").alias("m"), F.min(F.struct(F.to_json(spans).alias("k"), spans.alias("spans"), F.col("text").alias("text"))).alias("told"))
+    clash = F.col("kinds") > 1
+    status = F.when(F.col("n").isNull(), None).when(F.col("n") == 1, "silver_single").when(~clash, "gold_agreement").otherwise("gold_adjudicated")
+    error = F.when(F.col("m") > 1, "SEVERAL").when(F.col("n").isNull() | (~clash & F.col("m").isNotNull()), "UNUSED").when(clash & F.col("m").isNull(), "MISSING").when(clash & ~F.array_contains("texts", F.col("told.text")), "TEXT_MISMATCH")
+    return one.join(told, "id", "full_outer").select("id", status.alias("status"), F.when(clash, F.col("told.spans")).otherwise(F.col("own.spans")).alias("spans"), error.alias("error"))
+
+
+def merge_candidates(spans: DataFrame) -> DataFrame:
+    """(id, start, end, label, sources, locked) of spans (..., source, locked): equal spans are one, with all their sources."""
+    return spans.groupBy(*KEY).agg(F.sort_array(F.collect_set("source")).alias("sources"), F.max(F.coalesce("locked", F.lit(False))).alias("locked"))
+
+
+def aligned(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(no, left_id, right_id, fault) of two numbered tables (no, id) that should hold the same ids at the same places."""
+    both = left.select("no", F.col("id").alias("left_id"), F.lit(True).alias("_l")).join(right.select("no", F.col("id").alias("right_id"), F.lit(True).alias("_r")), "no", "full_outer")
+    fault = F.when(F.col("_l").isNull(), "RIGHT_LONGER").when(F.col("_r").isNull(), "RIGHT_SHORTER").when(~F.col("left_id").cast("string").eqNullSafe(F.col("right_id").cast("string")), "ID_MISMATCH")
+    return both.select("no", "left_id", "right_id", fault.alias("fault")).where("fault is not null")
+
+
+def key_faults(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n) of keys that repeat or are null: a join on the key would multiply or lose rows."""
+    return rows.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n")).where("n > 1 or key is null")
+
+
+def gate(stats: DataFrame, most_missed: float = 0.05) -> DataFrame:
+    """(miss_rate, incomplete, passed) of one row of counts (asked, missed, unparsed, unanswered)."""
+    rate = ratio(F.col("missed"), F.col("asked"))
+    gaps = F.coalesce("unparsed", F.lit(0)) + F.coalesce("unanswered", F.lit(0))
+    return stats.select(F.round(rate, 6).alias("miss_rate"), gaps.cast("long").alias("incomplete"), ((rate <= most_missed) & (gaps == 0)).alias("passed"))
+
+
 def validate(rows: DataFrame, labels: list[str]) -> DataFrame:
     """(code, n) of faults of spans in rows (id, text, entities)."""
     flat = rows.select("id", "text", F.posexplode("entities").alias("i", "e")).select("id", "text", "i", "e.start", "e.end", "e.label", F.col("e.text").alias("surface"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import spans as S
 from lodestone.functions import text as T
-from lodestone.operators import curation, entities, grouping, quality, retrieval, serving
+from lodestone.operators import curation, entities, grouping, quality, retrieval, rules, serving
 from lodestone.operators import weak_labels as L
 
 SPAN = "array<struct<start:int,end:int,label:string,text:string,confidence:double,source:string>>"
@@ -247,3 +247,111 @@ def test_streaming_sessions(spark, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("win").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("win").collect())) == sorted(map(tuple, E.tumbling(src).collect()))
+
+
+def test_fill_is_the_greedy_choice():
+    import random
+
+    r = random.Random(5)
+    for _ in range(300):
+        room = {k: r.choice([r.random() * 100, float(r.randint(-5, 60))]) for k in "abc"}
+        size, groups = r.randint(1, 9), r.randint(1, 60)
+        left, want = dict(room), dict.fromkeys(room, 0)
+        for _ in range(groups):
+            k = max(left, key=left.get)
+            left[k] -= size
+            want[k] += 1
+        assert grouping._fill(dict(room), size, groups) == want
+
+
+def test_pack_groups(spark):
+    rows = [(g, g % 3 == 0) for g in range(40) for _ in range(1 + g % 7)]
+    groups = spark.createDataFrame(rows, "grp long, gold boolean")
+    out = grouping.pack_groups(groups, {"train": 0.8, "validation": 0.1, "test": 0.1}).collect()
+    total = len(rows)
+    sums = {s: sum(r.n for r in out if r.split == s) for s in ("train", "validation", "test")}
+    assert len(out) == 40 == len({r.grp for r in out}) and sum(sums.values()) == total
+    assert abs(sums["train"] - 0.8 * total) <= 7 and abs(sums["test"] - 0.1 * total) <= 7
+    held = {r.grp: r.split for r in grouping.pack_groups(groups, {"train": 0.8, "validation": 0.1, "test": 0.1}, hold_out=True).collect()}
+    assert all((g % 3 == 0) == (s != "train") for g, s in held.items())
+    assert grouping.pack_groups(groups.limit(0), {"train": 1.0}).count() == 0
+
+
+def test_sample(spark):
+    rows = spark.createDataFrame([(i, "a" if i < 90 else f"s{i}") for i in range(100)], "id long, s string")
+    got = curation.sample(rows, "s", F.col("id"), 20).collect()
+    assert len(got) == 20 and sum(r.s != "a" for r in got) >= 2
+    assert len(curation.sample(rows, "s", F.col("id"), 200).collect()) == 100
+    capped = curation.sample(rows, "s", F.col("id"), 50, cap=3).collect()
+    assert len(capped) == 13 and sum(r.s == "a" for r in capped) == 3
+
+
+def test_compact(spark):
+    row = curation.compact(spark.createDataFrame([(1, "t", " ", "x", [], [], 5)], "id long, text string, a string, b string, c array<string>, d array<string>, secret int"), ["secret"], ["d"]).first()
+    assert (row.id, row.text, row.meta) == ("1", "t", '{"b":"x","d":[]}')
+
+
+def test_rules(spark):
+    texts = spark.createDataFrame([(1, "华为 Mate60 Pro 黑色 512GB"), (2, "USB 2 pcs"), (3, ""), (4, None), (5, "GBH-4UB 5g"), (6, "xiPhone15 不锈钢")], "id long, text string")
+    got = {r.id: [(e.text, e.label, e.confidence) for e in r.entities] for r in rules.rules(texts).collect()}
+    assert got[1] == [("Mate60 Pro", "MODEL", 0.55), ("黑色", "COLOR", 0.8), ("512GB", "CAPACITY", 0.75)]
+    assert got[3] == got[4] == [] and not any(l == "MODEL" for _, l, _ in got[2])
+    assert got[5] == [("GBH-4UB", "MODEL", 0.55), ("5g", "WEIGHT", 0.55)]
+    assert got[6][-1] == ("不锈钢", "MATERIAL", 0.8)
+    assert {e.label for r in rules.rules(texts, ("COLOR",)).collect() for e in r.entities} == {"COLOR"}
+
+
+def test_listed_overlap(spark):
+    got = one(spark, rules.listed(F.col("t"), ("aa",), "COLOR"), t="aaa")
+    assert [(x.start, x.end) for x in got] == [(0, 2), (1, 3)]
+
+
+def test_offline_dictionary(spark):
+    entries = spark.createDataFrame([("苹果", "BRAND", 1.0), ("苹果", "CATEGORY", 1.0), ("苹果手机", "CATEGORY", 0.5), ("pro", "MODIFIER", 2.0), ("a", "COLOR", 1.0)], "term string, label string, weight double")
+    texts = spark.createDataFrame([(1, "苹果手机Pro"), (2, "iPro 苹果"), (3, "a Pro"), (4, None)], "id long, text string")
+    got = {r.id: [(e.text, e.label, e.confidence) for e in r.entities] for r in rules.offline_dictionary(texts, entries, 6, {"COLOR": 2}).collect()}
+    assert got == {1: [("苹果手机", "CATEGORY", 0.45), ("Pro", "MODIFIER", 1.0)], 2: [("苹果", "BRAND", 0.9)], 3: [("Pro", "MODIFIER", 1.0)], 4: []}
+
+
+def test_modes(spark):
+    assert [rules.mode_of(m) for m in (None, " Rule ", "MODEL", "odd", "shadow")] == ["hybrid", "dictionary", "model", "hybrid", "shadow"]
+    kind = "array<struct<start:int,end:int,label:string>>"
+    frame = spark.createDataFrame([([(0, 1, "BRAND")], [(1, 2, "COLOR")]), (None, [(1, 2, "COLOR")])], f"m {kind}, d {kind}")
+    for mode, ready, want in [("model", True, ["BRAND", "COLOR"]), ("shadow", True, ["COLOR", "COLOR"]), ("hybrid", True, ["BRAND,COLOR", "COLOR"]), ("hybrid", False, ["COLOR", "COLOR"])]:
+        got = [",".join(e.label for e in r.x) for r in frame.select(rules.by_mode(mode, F.col("m"), F.col("d"), ready).alias("x")).collect()]
+        assert got == want
+    assert one(spark, rules.first_verbatim(F.col("t"), F.array(F.lit(""), F.lit("Sony"), F.lit("索尼"))), t="索尼SONY电视") == "Sony"
+
+
+def test_request_clauses(spark):
+    kind = "array<struct<label:string,text:string,normalized_id:string,normalized_type:string>>"
+    rows = spark.createDataFrame(
+        [(1, "华为手机", "", [("BRAND", "华为", "7", "brand"), ("CATEGORY", "手机", None, None)], ["电话"]), (2, "耳机", "", [], []), (3, "x", "", None, None)], f"q long, query string, residual string, entities {kind}, synonyms array<string>"
+    )
+    banned = spark.createDataFrame([("手机", 0, "手机壳"), ("手机", 1, "手机膜"), ("电视", 0, "电视架")], "category string, position int, term string")
+    got = entities.request_clauses(spark, rows, banned, {"brand": "brand_id"}).collect()
+    of = lambda q: sorted((r.occur, r.kind, r.field, r.text, r.boost) for r in got if r.q == q)
+    assert of(2) == [("must", "match", "title", "耳机", 1.0)] and of(3) == [("must", "match", "title", "x", 1.0)]
+    assert [x for x in of(1) if x[0] == "must_not"] == [("must_not", "phrase", "title", "手机壳", 1.0), ("must_not", "phrase", "title", "手机膜", 1.0)]
+    assert ("should", "term", "brand_id", "7", 60.0) in of(1) and ("should", "match", "title", "电话", 0.5) in of(1)
+    assert len(of(1)) == 8 and {r.msm for r in got if r.q == 1} == {1} and len({(r.q, r.clause) for r in got}) == len(got)
+
+
+def test_merge_adjudicated(spark):
+    kind = "id long, text string, spans array<struct<start:int,end:int,label:string>>"
+    a, b = [(0, 1, "A")], [(0, 1, "B")]
+    rows = spark.createDataFrame([(1, "x", a), (2, "x", a), (2, "x", a), (3, "x", a), (3, "x", b), (4, "x", a), (4, "x", b), (5, "x", a), (5, "x", b)], kind)
+    told = spark.createDataFrame([(3, "x", b), (2, "x", a), (5, "other", b), (9, "x", a)], kind)
+    got = {r.id: (r.status, r.error) for r in quality.merge_adjudicated(rows, told).collect()}
+    assert got == {1: ("silver_single", None), 2: ("gold_agreement", "UNUSED"), 3: ("gold_adjudicated", None), 4: ("gold_adjudicated", "MISSING"), 5: ("gold_adjudicated", "TEXT_MISMATCH"), 9: (None, "UNUSED")}
+
+
+def test_checks_of_tables(spark):
+    l, r = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "no int, id string"), spark.createDataFrame([(0, "a"), (1, "x")], "no int, id string")
+    assert sorted((x.no, x.fault) for x in quality.aligned(l, r).collect()) == [(1, "ID_MISMATCH"), (2, "RIGHT_SHORTER")]
+    keys = spark.createDataFrame([("a",), ("a",), (None,), ("b",)], "k string")
+    assert {(x.key, x.n) for x in quality.key_faults(keys, "k").collect()} == {("a", 2), (None, 1)}
+    stats = spark.createDataFrame([(100, 5, 0, 0), (100, 6, 0, 0), (100, 0, 0, 1), (0, 0, 0, 0)], "asked long, missed long, unparsed long, unanswered long")
+    assert [x.passed for x in quality.gate(stats).collect()] == [True, False, False, True]
+    spans = spark.createDataFrame([(1, 0, 2, "A", "rule", False), (1, 0, 2, "A", "llm", True), (1, 0, 2, "B", "llm", None)], "id long, start int, end int, label string, source string, locked boolean")
+    assert sorted((x.label, x.sources, x.locked) for x in quality.merge_candidates(spans).collect()) == [("A", ["llm", "rule"], True), ("B", ["llm"], False)]
