@@ -160,6 +160,31 @@ STRAT = """WITH s AS (SELECT p_type, greatest(1, CAST(round_even(100.0::DOUBLE *
 SELECT p_partkey, p_type, quota FROM part JOIN s USING (p_type) QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY substr(md5('42|' || CAST(p_partkey AS VARCHAR)), 1, 16)) <= quota"""
 
 
+def strat_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many small strata: quotas fall short of the number and are topped up."""
+    return C.sample(table(spark, sf_dir, "part"), "p_brand", F.col("p_partkey"), 120).select("p_partkey", "p_brand")
+
+
+STRAT_SAMPLE = """WITH s AS (SELECT p_brand, greatest(1, CAST(round_even(120.0::DOUBLE * count(*) / sum(count(*)) OVER (), 0) AS INT)) AS quota FROM part GROUP BY p_brand),
+h AS (SELECT p_partkey, p_brand, substr(md5('42|' || CAST(p_partkey AS VARCHAR)), 1, 16) AS h FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY h) AS r FROM h)
+SELECT p_partkey, p_brand FROM r JOIN s USING (p_brand) ORDER BY r > quota, h LIMIT 120"""
+
+
+def strat_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.sample(table(spark, sf_dir, "part"), "p_brand", F.col("p_partkey"), 60, cap=4).select("p_partkey", "p_brand")
+
+
+STRAT_CAP = """WITH h AS (SELECT p_partkey, p_brand, substr(md5('42|' || CAST(p_partkey AS VARCHAR)), 1, 16) AS h FROM part)
+SELECT p_partkey, p_brand FROM (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY h) <= 4) ORDER BY h LIMIT 60"""
+
+
+def split_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by customer, whole customers to splits by largest deficit; the urgent ones stand for gold. Tests compare with the greedy loop."""
+    groups = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("grp"), (F.col("o_orderkey") % 5 == 0).alias("gold"))
+    return G.pack_groups(groups, {"train": 0.8, "validation": 0.1, "test": 0.1})
+
+
 def capped_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In hash order at most 3 of a brand and 12 of a name, over the 1000 first; a sequence, so without SQL."""
     p = table(spark, sf_dir, "part").withColumn("h", C.stable_hash("42", F.col("p_partkey")))
@@ -261,6 +286,9 @@ QUERIES = {
     "split_no_leak": (split_no_leak, SPLIT),
     "bottom_k_sample": (bottom_k_sample, BOTTOM_K),
     "strat_quota": (strat_quota, STRAT),
+    "strat_sample": (strat_sample, STRAT_SAMPLE),
+    "strat_cap": (strat_cap, STRAT_CAP),
+    "split_packed": (split_packed, None),
     "capped_sample": (capped_sample, None),
     "conflict_groups": (conflict_groups, CONFLICTS),
     "query_log_anon": (query_log_anon, LOG),

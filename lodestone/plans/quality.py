@@ -206,7 +206,38 @@ def project_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TAGS = f"""WITH {_SPANS_SQL}, x AS (SELECT id, string_agg('B-' || label || repeat(' I-' || label, CAST(e - s - 1 AS INT)), ' ' ORDER BY s) AS tags FROM gold GROUP BY id) SELECT id, tags FROM x"""
 
+
+def span_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans made of lines: equal ones of several ship modes become one."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 1).alias("end"), F.col("l_returnflag").alias("label"), (F.col("l_orderkey") % 7).cast("string").alias("source"), (F.col("l_linestatus") == "F").alias("locked"))
+    return Q.merge_candidates(rows).withColumn("sources", F.array_join("sources", ",")).withColumn("locked", F.col("locked").cast("int"))
+
+
+SOURCES = """SELECT l_partkey AS id, l_linenumber AS start, l_linenumber + 1 AS end, l_returnflag AS label, string_agg(DISTINCT CAST(l_orderkey % 7 AS VARCHAR), ',' ORDER BY CAST(l_orderkey % 7 AS VARCHAR)) AS sources,
+  CAST(max(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS INT) AS locked FROM lineitem GROUP BY ALL"""
+
+
+def key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.key_faults(table(spark, sf_dir, "lineitem"), "l_orderkey")
+
+
+KEY_CHECK = "SELECT l_orderkey AS key, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1 OR l_orderkey IS NULL"
+
+
+def aligned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders against themselves, some ids changed and the last ones cut off."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("no"), F.col("o_custkey").alias("id"))
+    other = o.where("no % 10 <> 3").withColumn("id", F.when(F.col("no") % 7 == 0, F.col("id") + 1).otherwise(F.col("id")))
+    return Q.aligned(o, other)
+
+
+ALIGNED = """SELECT no, left_id, right_id, fault FROM (SELECT o_orderkey AS no, o_custkey AS left_id,
+  CASE WHEN o_orderkey % 10 = 3 THEN NULL WHEN o_orderkey % 7 = 0 THEN o_custkey + 1 ELSE o_custkey END AS right_id, CASE WHEN o_orderkey % 10 = 3 THEN 'RIGHT_SHORTER' WHEN o_orderkey % 7 = 0 THEN 'ID_MISMATCH' END AS fault FROM orders) WHERE fault IS NOT NULL"""
+
 QUERIES = {
+    "span_sources": (span_sources, SOURCES),
+    "key_check": (key_check, KEY_CHECK),
+    "aligned_rows": (aligned_rows, ALIGNED),
     "compare_annotations": (compare_annotations, COMPARE),
     "project_tags": (project_tags, TAGS),
     "span_prf": (span_prf, SPAN_PRF),

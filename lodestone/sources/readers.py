@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -116,6 +118,51 @@ def lexicon(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("_last", F.max("no").over(W.partitionBy("key"))).where("no = _last").drop("_last")
 
 
+def label_map(spark: SparkSession, path: str) -> DataFrame:
+    """(raw, label) of a table of raw and project labels, the latter in upper case; of a repeated raw label the last line counts."""
+    parts = F.split("line", "\t")
+    rows = _plain(spark, path).where(F.size(parts) >= 2).select("no", F.trim(parts[0]).alias("raw"), F.upper(F.trim(parts[1])).alias("label")).where("raw <> '' and label <> ''")
+    return rows.groupBy("raw").agg(F.max_by("label", "no").alias("label"))
+
+
+def inputs(spark: SparkSession, specs: list[str]) -> list[str]:
+    """Paths of files, folders (their shards products-N, by number) and globs, in the order given, each file once.
+
+    Works on any store that Spark reads. Shards of a folder that repeat or are missing are an error, as is no file."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    shard = re.compile(r"(?i)products-([0-9]+)\.(?:ndjson|nljson|jsonl)$")
+    found: dict[str, None] = {}
+    for spec in specs:
+        path = jvm.org.apache.hadoop.fs.Path(spec)
+        fs = path.getFileSystem(conf)
+        if fs.exists(path) and fs.getFileStatus(path).isDirectory():
+            held = {str(x.getPath()): shard.fullmatch(x.getPath().getName()) for x in fs.listStatus(path) if x.isFile()}
+            numbered = sorted((int(m[1]), name) for name, m in held.items() if m)
+            numbers = [n for n, _ in numbered]
+            if numbers != list(range(1, len(numbers) + 1)):
+                raise ValueError(f"{spec}: shards {numbers[:20]} do not run from 1 without gaps and repeats")
+            names = [name for _, name in numbered]
+        else:
+            names = sorted((str(x.getPath()) for x in fs.globStatus(path) or [] if x.isFile()), key=lambda n: n.rpartition("/")[2])
+        found |= dict.fromkeys(names)
+    if not found:
+        raise ValueError("no input file")
+    return list(found)
+
+
+def jdbc(spark: SparkSession, url: str, query: str, key: str, low: int, high: int, parts: int, rows: int = 5000, **options: str) -> DataFrame:
+    """A query over JDBC, read in `parts` ranges of an integer key at once, each fetched `rows` at a time.
+
+    Ranges take the place of pages after the last key: they need no page before them, and a lost one is read again.
+    Keys below low and from high on fall to the first and the last range, null keys to the first."""
+    if parts < 1 or high < low:
+        raise ValueError("a range of keys and one part at least")
+    edges = [low + (high - low) * i // parts for i in range(1, parts)]
+    edges = sorted(set(edges))
+    where = ["1 = 1"] if not edges else [f"{key} < {edges[0]} OR {key} IS NULL", *[f"{key} >= {a} AND {key} < {b}" for a, b in zip(edges, edges[1:])], f"{key} >= {edges[-1]}"]
+    return spark.read.jdbc(url, f"({query}) q", predicates=where, properties={"fetchsize": str(rows), **options})
+
+
 def word_list(spark: SparkSession, path: str) -> DataFrame:
     return _plain(spark, path).select("no", F.col("line").alias("word"))
 

@@ -82,3 +82,46 @@ def test_writers(spark, tmp_path):
     spans = spark.createDataFrame([(1, "ab", [(0, 1, "L", "a", 0.5), (1, 2, "L", "b", 1.0)])], "id long, text string, entities array<struct<start:int,end:int,label:string,text:string,confidence:double>>")
     writers.tasks(spans, str(tmp_path / "k"))
     assert spark.read.json(str(tmp_path / "k")).first().predictions[0].score == 0.75
+
+
+def test_label_map(spark, tmp_path):
+    p = put(tmp_path / "m.tsv", "# raw to ours", "HP\tbrand", "HC\t category ", "bad", "HP\tseries")
+    assert sorted(map(tuple, readers.label_map(spark, p).collect())) == [("HC", "CATEGORY"), ("HP", "SERIES")]
+
+
+def test_inputs(spark, tmp_path):
+    d = tmp_path / "d"
+    d.mkdir()
+    for n in ("products-2.jsonl", "products-1.ndjson", "products-10.txt", "other.jsonl"):
+        put(d / n, "{}")
+    names = [x.rpartition("/")[2] for x in readers.inputs(spark, [str(d), str(d / "products-1.ndjson"), str(d / "o*.jsonl")])]
+    assert names == ["products-1.ndjson", "products-2.jsonl", "other.jsonl"]
+    put(d / "products-4.jsonl", "{}")
+    for wrong in (str(d), str(d / "none*")):
+        with pytest.raises(ValueError):
+            readers.inputs(spark, [wrong])
+
+
+def test_reports(spark, tmp_path):
+    p = str(tmp_path / "r.json")
+    for values in ({"n": 1}, spark.range(1).select(F.lit("兄").alias("t"))):
+        writers.report(values, p)
+    assert json.loads((tmp_path / "r.json").read_text(encoding="utf-8")) == {"t": "兄"} and not list(tmp_path.glob("*.tmp"))
+    with pytest.raises(ValueError):
+        writers.report(spark.range(2), p)
+    assert writers.fingerprint({"a": 1, "b": 2}) == writers.fingerprint({"b": 2, "a": 1}) != writers.fingerprint({"a": 1})
+    config = {"a": {"b": 1}}
+    assert writers.overridden(config, ["a.b=2", "c.d=x"]) == {"a": {"b": 2}, "c": {"d": "x"}} and config == {"a": {"b": 1}}
+    made = writers.manifest(spark, str(tmp_path / "m.json"), [p], config, model="m")
+    import hashlib
+
+    assert made["files"][0]["sha256"] == hashlib.sha256((tmp_path / "r.json").read_bytes()).hexdigest() and json.loads((tmp_path / "m.json").read_text())["model"] == "m"
+
+
+def test_append_checks_the_input(spark, tmp_path):
+    p = str(tmp_path / "t")
+    writers.append_new(spark.range(3), p)
+    writers.append_new(spark.range(5), p)
+    assert spark.read.parquet(p).count() == 5
+    with pytest.raises(ValueError):
+        writers.append_new(spark.range(2), p)
