@@ -47,6 +47,34 @@ def analyze(c: Column, mode: str = "fine") -> Column:
     return F.transform(F.regexp_extract_all(normalize(c), F.lit(pattern), F.lit(0)), lambda t, i: F.struct(t.alias("term"), i.alias("position")))
 
 
+def matches(text: Column, pattern: str) -> Column:
+    """(start, end) of a pattern's matches, which are not empty: what stands between them gives their places."""
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    start = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("done"), F.lit(0).alias("at"))
+
+    def step(a: Column, i: Column) -> Column:
+        begin = a["at"] + F.length(F.get(gaps, i))
+        end = begin + F.length(F.get(found, i))
+        return F.struct(F.concat(a["done"], F.array(F.struct(begin.alias("start"), end.alias("end")))).alias("done"), end.alias("at"))
+
+    order = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(order, start, step, lambda a: a["done"])
+
+
+def analyzed(c: Column, mode: str = "fine") -> Column:
+    """(term, position, start, end, type) of a text's terms; type is word, number or ideograph. Offsets hold in the
+    text itself, since the normal form keeps lengths."""
+    pattern = f"[a-z0-9#]+|[{CJK}]" if mode == "fine" else f"[a-z0-9#]+|[{CJK}]{{1,2}}"
+    text = normalize(c)
+
+    def one(m: Column, i: Column) -> Column:
+        term = F.substring(text, m["start"] + 1, m["end"] - m["start"])
+        kind = F.when(term.rlike("^[0-9]+$"), "number").when(term.rlike("^[a-z0-9#]"), "word").otherwise("ideograph")
+        return F.struct(term.alias("term"), i.alias("position"), m["start"].alias("start"), m["end"].alias("end"), kind.alias("type"))
+
+    return F.transform(matches(text, pattern), one)
+
+
 def price_fen(yuan: Column) -> Column:
     """Half-up rounding to hundredths."""
     return F.floor(yuan * 100 + 0.5).cast("long")

@@ -103,7 +103,7 @@ def stratified(rows: DataFrame, stratum: str, key: Column, n: int, seed: str = "
     counts = rows.groupBy(stratum).agg(F.count("*").alias("_size"))
     total = counts.agg(F.sum("_size").alias("_all"))
     quota = counts.crossJoin(F.broadcast(total)).select(stratum, F.greatest(F.lit(1), F.bround(F.lit(float(n)) * F.col("_size") / F.col("_all")).cast("int")).alias("quota"))
-    out = rows.withColumn("sample_hash", stable_hash(seed, key)).join(F.broadcast(quota), stratum)
+    out = rows.withColumn("sample_hash", stable_hash(seed, key)).join(quota, stratum)
     return out.withColumn("_r", F.row_number().over(W.partitionBy(stratum).orderBy("sample_hash"))).where("_r <= quota").drop("_r")
 
 

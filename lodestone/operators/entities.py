@@ -185,7 +185,7 @@ def request_clauses(spark: SparkSession, requests: DataFrame, exclusions: DataFr
 def normalise_entities(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """entities (id, label, text) with normalized text, id and type by (label, alias); n匹 becomes n HP."""
     known = aliases.select("label", normalize(F.col("alias")).alias("_key"), "canonical", "business_id", "id_type")
-    out = entities.withColumn("_key", normalize(F.col("text"))).join(F.broadcast(known), ["label", "_key"], "left")
+    out = entities.withColumn("_key", normalize(F.col("text"))).join(known, ["label", "_key"], "left")
     power = F.regexp_extract("text", "^([0-9]+(?:\\.[0-9]+)?)\\s*匹$", 1)
     is_power = (F.col("label") == "SPEC") & (power != "")
     return out.select(

@@ -6,11 +6,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import analyze, normalize, price_fen
+from ..functions.text import analyze, analyzed, price_fen
 
 K1, B = 1.2, 0.75
 SORTS = ("RELEVANCE", "PRICE_ASC", "PRICE_DESC", "SALES_DESC", "RATING_DESC")
@@ -32,6 +32,16 @@ def build_index(products: DataFrame, fields: dict[str, Column], id_col: str = "s
     return Index(postings, postings.groupBy("field", "term").agg(F.count("*").alias("df")).join(F.broadcast(sizes), "field"))
 
 
+def save_index(index: Index, folder: str) -> None:
+    """Stores an index: a folder for each field, in it terms side by side, so that asked terms read few row groups."""
+    index.postings.repartition("field", "term").sortWithinPartitions("field", "term", "doc").write.mode("overwrite").partitionBy("field").parquet(f"{folder}/postings")
+    index.terms.repartition("field").sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(f"{folder}/terms")
+
+
+def load_index(spark: SparkSession, folder: str) -> Index:
+    return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/terms"))
+
+
 def idf(n: Column, df: Column) -> Column:
     n, df = n.cast("double"), df.cast("double")
     return F.log(1.0 + (n - df + 0.5) / (df + 0.5))
@@ -79,7 +89,7 @@ def boolean(scores: DataFrame, clauses: DataFrame) -> DataFrame:
         F.max(F.col("occur") == "must_not").alias("banned"),
         F.sum(F.when(F.col("occur") != "must_not", F.col("score")).otherwise(0.0)).alias("score"),
     )
-    fit = one.join(F.broadcast(shape), "q").where("met = musts and not banned")
+    fit = one.join(shape, "q").where("met = musts and not banned")
     return fit.where(F.col("helped") >= F.coalesce("msm", F.when(F.col("musts") > 0, 0).otherwise(1))).select("q", "doc", "score")
 
 
@@ -130,15 +140,48 @@ def dedup_spu(hits: DataFrame, by: str = "q") -> DataFrame:
     return out.drop("_key", "_best").withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy("place"))).drop("place")
 
 
-def highlight(title: Column, terms: Column) -> Column:
-    """Title with the words that are among terms wrapped in <em>."""
-    words = F.split(title, " ")
-    return F.array_join(F.transform(words, lambda w: F.when(F.array_contains(terms, normalize(w)), F.concat(F.lit("<em>"), w, F.lit("</em>"))).otherwise(w)), " ")
-
-
-def item(hits: DataFrame) -> DataFrame:
-    """Result rows: price in fen, id fallback."""
-    return hits.withColumn("price_fen", price_fen(F.col("price")))
+def highlight(title: Column, terms: Column, mode: str = "fine") -> Column:
+    """Title with every analysed term that is among terms wrapped in <em>, whatever script it is in."""
+    hits = F.filter(analyzed(title, mode), lambda x: F.array_contains(terms, x["term"]))
+    marked = F.aggregate(
+        hits,
+        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
+        lambda a, x: F.struct(F.concat(a["out"], F.substring(title, a["at"] + 1, x["start"] - a["at"]), F.lit("<em>"), F.substring(title, x["start"] + 1, x["end"] - x["start"]), F.lit("</em>")).alias("out"), x["end"].alias("at")),
+    )
+    return F.concat(marked["out"], F.substring(title, marked["at"] + 1, F.length(title)))
+
+
+def item(hits: DataFrame, id_col: str | None = None) -> DataFrame:
+    """Result rows: price in fen (0 without a price); a blank sku_id gives way to the document's id (id_col); in_stock
+    given as text is true only where it says true."""
+    out = hits.withColumn("price_fen", F.coalesce(price_fen(F.col("price")), F.lit(0).cast("long")))
+    if id_col:
+        out = out.withColumn("sku_id", F.coalesce(F.when(F.trim(F.col("sku_id").cast("string")) != "", F.col("sku_id")), F.col(id_col)))
+    if dict(out.dtypes).get("in_stock") == "string":
+        out = out.withColumn("in_stock", F.coalesce(F.lower(F.trim("in_stock")) == "true", F.lit(False)))
+    return out
+
+
+def page_numbers(page: Column, pages: Column, most: int = 5) -> Column:
+    """The page numbers to show: at most `most`, around the page as far as there are pages."""
+    first = F.greatest(F.lit(1), F.least(page - most // 2, pages - most + 1))
+    return F.when(pages > 0, F.sequence(first, F.least(pages, first + most - 1))).otherwise(F.array().cast("array<int>"))
+
+
+def trace(requests: DataFrame, clauses: DataFrame, hits: DataFrame, terms: str = "fine") -> DataFrame:
+    """One row a request (q, query, rewritten, entities, synonyms) with what each step made of it: its terms, its clauses in
+    words, and how many hits it has with the best ones. Requests without clauses or hits have empty lists."""
+    said = explain_clauses(clauses).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("clause", "explanation"))).alias("_said"))
+    ranked = hits.withColumn("_r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "doc"))).where("_r <= 10")
+    best = ranked.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "doc", "score"))), lambda x: F.struct(x["doc"].alias("doc"), x["score"].alias("score"))).alias("_best"))
+    found = hits.groupBy("q").agg(F.count("*").alias("_n"))
+    kind = dict(best.dtypes)["_best"]
+    out = requests.join(said, "q", "left").join(best, "q", "left").join(found, "q", "left")
+    return out.select(
+        "q", "query", "rewritten", analyzed(F.col("rewritten"), terms).alias("terms"), "entities", "synonyms",
+        F.coalesce(F.transform("_said", lambda x: x["explanation"]), F.array().cast("array<string>")).alias("clauses"),
+        F.coalesce("_n", F.lit(0)).alias("total"), F.coalesce("_best", F.array().cast(kind)).alias("best"),
+    )
 
 
 def explain_clauses(clauses: DataFrame) -> DataFrame:

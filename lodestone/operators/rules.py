@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import resolve_overlaps
-from ..functions.text import normalize
+from ..functions.text import matches, normalize
 from .entities import OFFLINE_RANK, candidates, merge_hybrid
 from .quantities import annotate_measures
 from .weak_labels import SPAN, places
@@ -36,20 +36,6 @@ def _span(text: Column, start: Column, end: Column, label: str | Column, confide
     return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), label.alias("label"), F.substring(text, start + 1, end - start).alias("text"), confidence.cast("double").alias("confidence"), F.lit(source).alias("source")).cast(SPAN)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """(start, end) of a pattern's matches, which are not empty: what stands between them gives their places."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("done"), F.lit(0).alias("at"))
-
-    def step(a: Column, i: Column) -> Column:
-        begin = a["at"] + F.length(F.get(gaps, i))
-        end = begin + F.length(F.get(found, i))
-        return F.struct(F.concat(a["done"], F.array(F.struct(begin.alias("start"), end.alias("end")))).alias("done"), end.alias("at"))
-
-    order = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(order, start, step, lambda a: a["done"])
-
-
 def models(text: Column) -> Column:
     """Model numbers: letters and digits both, no bare unit or marketing word, judged without their suffix."""
 

@@ -355,3 +355,31 @@ def test_checks_of_tables(spark):
     assert [x.passed for x in quality.gate(stats).collect()] == [True, False, False, True]
     spans = spark.createDataFrame([(1, 0, 2, "A", "rule", False), (1, 0, 2, "A", "llm", True), (1, 0, 2, "B", "llm", None)], "id long, start int, end int, label string, source string, locked boolean")
     assert sorted((x.label, x.sources, x.locked) for x in quality.merge_candidates(spans).collect()) == [("A", ["llm", "rule"], True), ("B", ["llm"], False)]
+
+
+def test_analyzed_and_highlight(spark):
+    got = one(spark, T.analyzed(F.col("t")), t="Ａb3 手机,12")
+    assert [tuple(x) for x in got] == [("ab3", 0, 0, 3, "word"), ("手", 1, 4, 5, "ideograph"), ("机", 2, 5, 6, "ideograph"), ("12", 3, 7, 9, "number")]
+    assert one(spark, retrieval.highlight(F.col("t"), F.array(F.lit("手"), F.lit("ab3"))), t="Ａb3 手机!") == "<em>Ａb3</em> <em>手</em>机!"
+    assert one(spark, retrieval.highlight(F.col("t"), F.array(F.lit("x"))), t="") == "" and one(spark, T.analyzed(F.col("t")), t="") == []
+
+
+def test_items_and_pages(spark):
+    rows = spark.createDataFrame([("", "d1", 1.005, "TRUE "), ("s", "d2", None, "yes"), (None, "d3", 2.0, None)], "sku_id string, doc string, price double, in_stock string")
+    assert [(r.sku_id, r.price_fen, r.in_stock) for r in retrieval.item(rows, "doc").collect()] == [("d1", 100, True), ("s", 0, False), ("d3", 200, False)]
+    for page, pages, want in [(1, 3, [1, 2, 3]), (1, 9, [1, 2, 3, 4, 5]), (5, 9, [3, 4, 5, 6, 7]), (9, 9, [5, 6, 7, 8, 9]), (1, 0, [])]:
+        assert one(spark, retrieval.page_numbers(F.col("p"), F.col("n")), p=page, n=pages) == want
+
+
+def test_stored_index_and_trace(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "red ring", "x"), (2, "blue ring ring", "red")], "sku_id long, title string, tags string")
+    made = retrieval.build_index(rows, {"title": F.col("title"), "tags": F.col("tags")})
+    retrieval.save_index(made, str(tmp_path / "i"))
+    stored = retrieval.load_index(spark, str(tmp_path / "i"))
+    clauses = spark.createDataFrame([(1, 1, 0, "must", "match", "title", "ring", 2.0, None), (2, 1, 0, "must", "match", "title", "none", 1.0, None)], "q long, clause int, grp int, occur string, kind string, field string, text string, boost double, msm int")
+    a, b = (sorted((r.q, r.doc, round(r.score, 9)) for r in retrieval.match_scores(i, clauses).collect()) for i in (made, stored))
+    assert a == b and len(a) == 2
+    asked = spark.createDataFrame([(1, "Ring", "ring", [], []), (2, "none", "none", [], [])], "q long, query string, rewritten string, entities array<struct<label:string,text:string>>, synonyms array<string>")
+    got = {r.q: r for r in retrieval.trace(asked, clauses, retrieval.boolean(retrieval.match_scores(stored, clauses), clauses)).collect()}
+    assert got[1].total == 2 and len(got[1].best) == 2 and got[1].clauses == ["must match(title=ring)^2.0"] and got[1].terms[0].term == "ring"
+    assert got[2].total == 0 and got[2].best == []
