@@ -383,3 +383,27 @@ def test_stored_index_and_trace(spark, tmp_path):
     got = {r.q: r for r in retrieval.trace(asked, clauses, retrieval.boolean(retrieval.match_scores(stored, clauses), clauses)).collect()}
     assert got[1].total == 2 and len(got[1].best) == 2 and got[1].clauses == ["must match(title=ring)^2.0"] and got[1].terms[0].term == "ring"
     assert got[2].total == 0 and got[2].best == []
+
+
+def test_search(spark):
+    from lodestone.operators import search as X
+
+    rows = [(1, "s1", "red ring", "Acme", "ring", 5.0, 10, 4.0), (2, "s1", "red ring big", "Acme", "ring", 4.0, 0, 4.0), (3, "s2", "ring case", "Acme", "case", 1.0, 99, 5.0), (4, "s3", "blue bolt", "Bolts", "bolt", None, None, None)]
+    products = spark.createDataFrame(rows, "sku_id long, spu_id string, title string, brand_name string, category_name string, price double, sales_count long, rating double")
+    index = R_index(products)
+    known = X.Knowledge(
+        entities.dictionary(spark.createDataFrame([("acme", "BRAND", 0), ("ring", "CATEGORY", 0), ("nova", "BRAND", 0)], "term string, label string, priority int")), 6, [("crimson", "red")], [("bolt", ["blue"])],
+        exclusions=spark.createDataFrame([("ring", 0, "ring case")], "category string, position int, term string"),
+    )
+    asked = spark.createDataFrame([(1, "acme ring", None, None, None), (2, "ring", 1, 1, "PRICE_ASC"), (3, "crimson", None, None, None), (4, "nova bolt", None, None, None), (5, " ", None, None, None), (6, "acme ring", 2, 1, "PRICE_DESC")], "q long, query string, page int, page_size int, sort string")
+    found = X.search(spark, asked, products, index, known)
+    got: dict = {}
+    for r in found.page.orderBy("q", "rank").collect():
+        got.setdefault(r.q, []).append((r.sku_id, r.highlight))
+    assert got == {1: [(1, "red <em>ring</em>")], 2: [(2, "red <em>ring</em> big")], 3: [(1, "<em>red</em> ring")], 4: [(4, "blue <em>bolt</em>")], 6: [(2, "red <em>ring</em> big")]}
+    assert {r.q: r.error_code for r in found.requests.collect()}[5] == "QUERY_BLANK"
+    assert {(r.q, r.doc) for r in found.hits.collect()} == {(1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 2), (4, 4), (6, 1), (6, 2)}
+
+
+def R_index(products):
+    return retrieval.build_index(products, {c: F.col(c) for c in ("title", "brand_name", "category_name")})
