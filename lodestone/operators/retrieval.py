@@ -52,19 +52,25 @@ def bm25(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf / (tf + K1 * (1.0 - B + B * dl.cast("double") / avgdl))
 
 
+def _meet(index: Index, asked: DataFrame) -> DataFrame:
+    """Postings of asked terms (field, term, ...) with the statistics of each. The size of postings and terms is guessed
+    from the files below their sums, far too low for compressed tables, so the guess may not choose a side to broadcast:
+    both joins merge. Asked terms are dealt anew, so that partitions of a common term can be split."""
+    known = asked.hint("merge").join(index.terms, ["field", "term"]).repartition("field", "term")
+    return index.postings.join(known.hint("merge"), ["field", "term"])
+
+
 def match_scores(index: Index, clauses: DataFrame, mode: str = "fine") -> DataFrame:
     """(q, clause, doc, score) of clauses (q, clause, field, text, boost): any term of the text."""
     asked = clauses.select("q", "clause", "field", "boost", F.explode(F.array_distinct(F.transform(analyze(F.col("text"), mode), lambda x: x["term"]))).alias("term"))
-    hits = index.postings.join(index.terms, ["field", "term"]).join(asked, ["field", "term"])
-    return hits.groupBy("q", "clause", "doc").agg(F.sum(F.col("boost") * idf(F.col("n"), F.col("df")) * bm25(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
+    return _meet(index, asked).groupBy("q", "clause", "doc").agg(F.sum(F.col("boost") * idf(F.col("n"), F.col("df")) * bm25(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
 
 
 def phrase_scores(index: Index, clauses: DataFrame, mode: str = "fine") -> DataFrame:
     """(q, clause, doc, score) of clauses whose terms stand one after the other."""
     asked = clauses.select("q", "clause", "field", "boost", analyze(F.col("text"), mode).alias("t"))
     asked = asked.select("q", "clause", "field", "boost", F.size("t").alias("terms"), F.explode("t").alias("x")).select("q", "clause", "field", "boost", "terms", "x.term", F.col("x.position").alias("qpos"))
-    hits = index.postings.join(index.terms, ["field", "term"]).join(asked, ["field", "term"])
-    at = hits.select("q", "clause", "doc", "boost", "terms", "qpos", "n", "df", "dl", "avgdl", F.explode("positions").alias("p"))
+    at = _meet(index, asked).select("q", "clause", "doc", "boost", "terms", "qpos", "n", "df", "dl", "avgdl", F.explode("positions").alias("p"))
     runs = at.groupBy("q", "clause", "doc", "boost", "terms", "dl", "avgdl", (F.col("p") - F.col("qpos")).alias("start")).agg(F.count_distinct("qpos").alias("met"), F.sum(idf(F.col("n"), F.col("df"))).alias("weight"))
     whole = runs.where("met = terms").groupBy("q", "clause", "doc", "boost", "dl", "avgdl").agg(F.count("*").alias("tf"), F.max("weight").alias("weight"))
     return whole.select("q", "clause", "doc", (F.col("boost") * F.col("weight") * bm25(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))

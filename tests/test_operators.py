@@ -407,3 +407,16 @@ def test_search(spark):
 
 def R_index(products):
     return retrieval.build_index(products, {c: F.col(c) for c in ("title", "brand_name", "category_name")})
+
+
+def test_postings_are_never_broadcast(spark):
+    """The sums of a compressed table look small to the planner, whatever their rows."""
+    products = spark.range(50).select(F.col("id").alias("sku_id"), F.concat(F.lit("red bolt "), F.col("id").cast("string")).alias("title"))
+    index = retrieval.build_index(products, {"title": F.col("title")})
+    clauses = spark.createDataFrame([(1, 1, "title", "red bolt", 1.0)], "q long, clause int, field string, text string, boost double")
+    for scores in (retrieval.match_scores(index, clauses), retrieval.phrase_scores(index, clauses)):
+        assert scores.count() == 50
+        lines = scores._jdf.queryExecution().sparkPlan().toString().split("\n")
+        joins = [x for x in lines if "Join " in x]
+        assert sum("SortMergeJoin" in x and "[field" in x and ", term" in x for x in joins) == 2
+        assert all(", term" not in x for x in joins if "BroadcastHashJoin" in x)
