@@ -55,7 +55,7 @@ def bm25(tf: Column, dl: Column, avgdl: Column) -> Column:
 def _meet(index: Index, asked: DataFrame) -> DataFrame:
     """Postings of asked terms (field, term, ...) with the statistics of each. The size of postings and terms is guessed
     from the files below their sums, far too low for compressed tables, so the guess may not choose a side to broadcast:
-    both joins merge. Asked terms are dealt anew, so that partitions of a common term can be split."""
+    both joins merge. The postings of one asked term meet in one task, which sorts them and can spill."""
     known = asked.hint("merge").join(index.terms, ["field", "term"]).repartition("field", "term")
     return index.postings.join(known.hint("merge"), ["field", "term"])
 
