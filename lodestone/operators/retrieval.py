@@ -60,6 +60,11 @@ def _meet(index: Index, asked: DataFrame) -> DataFrame:
     return index.postings.join(known.hint("merge"), ["field", "term"])
 
 
+def with_products(hits: DataFrame, products: DataFrame, id_col: str = "sku_id") -> DataFrame:
+    """Hits (doc, ...) with their products. The guessed size of a compressed catalogue may not choose to broadcast it."""
+    return hits.hint("merge").join(products, hits["doc"] == products[id_col])
+
+
 def match_scores(index: Index, clauses: DataFrame, mode: str = "fine") -> DataFrame:
     """(q, clause, doc, score) of clauses (q, clause, field, text, boost): any term of the text."""
     asked = clauses.select("q", "clause", "field", "boost", F.explode(F.array_distinct(F.transform(analyze(F.col("text"), mode), lambda x: x["term"]))).alias("term"))

@@ -98,7 +98,7 @@ def search(spark: SparkSession, requests: DataFrame, products: DataFrame, index:
     plain = lost.select("q", effective.alias("query"), F.lit("").alias("residual"), F.filter("entities", lambda e: F.lit(False)).alias("entities"), "synonyms")
     again = cut(E.request_clauses(spark, plain), "again")
     hits = found.union(matching(index, products, again, []))
-    rows = hits.join(products, hits["doc"] == products["sku_id"]).join(fine.select("q", "sort", "page", "page_size", "rewritten"), "q")
+    rows = R.with_products(hits, products).join(fine.select("q", "sort", "page", "page_size", "rewritten"), "q")
     rows = rows.withColumn("score", F.when(F.col("sort") == "RELEVANCE", R.business_score(F.col("score"), F.col("sales_count"), F.col("rating"))).otherwise(F.col("score"))).where(F.col("score") >= least)
     ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(*_order(F.col("score")))))
     first = (F.col("page") - 1) * F.col("page_size")

@@ -25,7 +25,7 @@ def _title_hits(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """(q, all of a product, score) of the requests' words on the title with sales and rating."""
     clauses = _clauses(spark, [(q, 1, 1, "must", "match", "title", words, 1.0, None) for q, words, _ in REQUESTS])
     found = R.boolean(R.match_scores(_index(rows), clauses), clauses)
-    hits = found.join(rows, found["doc"] == rows["sku_id"])
+    hits = R.with_products(found, rows)
     return hits.withColumn("score", F.round(R.business_score(F.col("score"), F.col("sales_count"), F.col("rating")), 6))
 
 

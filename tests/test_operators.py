@@ -420,3 +420,22 @@ def test_postings_are_never_broadcast(spark):
         joins = [x for x in lines if "Join " in x]
         assert sum("SortMergeJoin" in x and "[field" in x and ", term" in x for x in joins) == 2
         assert all(", term" not in x for x in joins if "BroadcastHashJoin" in x)
+
+
+def test_products_are_never_broadcast(spark, tmp_path):
+    """Pruned to a key and a price, a compressed catalogue looks small to the planner, whatever its rows."""
+    spark.range(50).select(F.col("id").alias("sku_id"), (F.col("id") * 2.0).alias("price")).write.parquet(str(tmp_path / "products"))
+    hits = spark.range(0, 100, 2).select(F.lit(1).cast("long").alias("q"), F.col("id").alias("doc"), F.lit(0.5).alias("score"))
+    rows = retrieval.with_products(hits, spark.read.parquet(str(tmp_path / "products")))
+    assert {(x.doc, x.price) for x in rows.collect()} == {(i, i * 2.0) for i in range(0, 50, 2)}
+    joins = [x for x in rows._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join " in x]
+    assert len(joins) == 1 and "SortMergeJoin" in joins[0]
+
+
+def test_sorted_search_does_not_broadcast_products(spark):
+    """The queries sorted by price, whose products are a key and a price; rows and order stay those of the SQL (test_queries)."""
+    from lodestone.plans.search import QUERIES
+
+    for name in ("search_sort_price", "search_sort_price_desc", "search_sort_rating", "search_sort_sales", "spu_dedup"):
+        plan = QUERIES[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+        assert all("sku_id" not in x for x in plan.split("\n") if "BroadcastHashJoin" in x), name
