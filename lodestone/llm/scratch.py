@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,25 @@ def _remove_quietly(spark: SparkSession, root: str) -> None:
             pass
 
 
+def trim(spark: SparkSession) -> str | None:
+    """Has the driver's JVM give free native memory back to the system, and returns what it says; None from a JVM that
+    cannot. Planning many large queries leaves much of it in pieces, which collecting garbage does not return."""
+    gateway = spark.sparkContext._gateway
+    jvm, new = gateway.jvm, gateway.new_array
+    try:
+        # through the interface, since the server's own class is closed to reflection
+        names = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+        kinds, given = new(jvm.java.lang.Class, 4), new(jvm.java.lang.Object, 4)
+        for i, name in enumerate(names):
+            kinds[i] = jvm.java.lang.Class.forName(name)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        given[2], given[3] = new(jvm.java.lang.Object, 0), new(jvm.java.lang.String, 0)
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        return jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethod("invoke", kinds).invoke(server, given)
+    except Py4JError:
+        return None
+
+
 class Scratch:
     """Parquet tables of one run. drop() deletes those that no result reads any more."""
 
@@ -78,9 +98,10 @@ class Scratch:
         self.release()
 
     def release(self) -> None:
-        """Shuffle files go when the driver forgets the plans that made them; this makes it forget now."""
+        """Shuffle files go when the driver forgets the plans that made them; this makes it forget now, and give back memory."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+        trim(self.spark)
 
 
 def row_bytes(table: DataFrame) -> int:

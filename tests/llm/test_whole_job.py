@@ -319,3 +319,13 @@ def test_distributed_sums(spark):
     x = np.hstack([(np.hstack([dense, bits])[some] - mean) / scale, np.ones((some.sum(), 1))])
     want = quality.newton_sums(x, (meta[some] == 1).astype(float), np.where(meta[some] == 1, 0.5, 0.25), w)
     assert np.allclose(bend, want[0]) and np.allclose(slope, want[1])
+
+
+def test_driver_gives_native_memory_back(spark, monkeypatch):
+    """release() asks the JVM to, and goes on where it cannot."""
+    from lodestone.llm import scratch
+
+    asked, trim = [], scratch.trim
+    monkeypatch.setattr(scratch, "trim", lambda s: asked.append(trim(s)))
+    scratch.Scratch(spark, "trimmed").release()
+    assert len(asked) == 1 and (asked[0] is None or "Trim native heap" in str(asked[0]) or "not available" in str(asked[0]).lower())
