@@ -1,20 +1,19 @@
-"""Fuzzy duplicate lines: MinHash of character shingles, banding, exact Jaccard confirmation, components by joins; one
-line of each component stays.
+"""Fuzzy duplicate lines with DataFrame functions alone: MinHash of character shingles, banding, exact Jaccard
+confirmation, components by joins; one line of each component stays.
 
-Signatures are made in Arrow batches; all else is DataFrame functions. The native form of the signatures (explode every
-shingle, group by line, minima and maxima of 20 hashes) gave whole results but did not meet the limits of CPU and disk;
-the README has its figures. A shingle is WIDTH characters at every offset, and every shingle counts. A signature has the
-least hash of each of BINS parts of the hash range; an empty part takes the value of another, chosen by a hash of the
-part's number, so that short lines agree as often as their sets do. What bands bring together is confirmed on the full
-sets of shingles."""
+A shingle is WIDTH characters at every offset. A line is signed within its own row: the hashes of its shingles and the
+STARTS, fixed places of the hash range, are sorted into a ring, and the ROWS entries after each start are a window. Lines
+share a window when none of the hashes in it is of one line alone, as often as ROWS values of MinHash agree; windows of a
+line with few shingles hold starts too, so fewer hashes, which makes good that its windows overlap. A line with many
+shingles is signed over those that begin with chosen characters, one with few of those over all its shingles, and one in
+between both ways, so that lines that are alike meet one way at least. What windows bring together is confirmed on the
+full sets of shingles."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,13 +24,18 @@ from .scratch import MOST_BROADCAST, Scratch, semi_join, small_side
 U64 = K.U64
 #: Characters of a shingle; a shorter line is its own shingle.
 WIDTH = 5
-#: Values of a signature, and how many make a band: 16 bands, of which a pair at 0.8 shares none 8 times in a thousand.
-BINS, ROWS = 96, 6
-#: Words of 64 cells that hold the parities of a line's shingles.
+#: Windows of a signature, and their entries: of 12 windows a pair at 0.8 shares none 8 times in a thousand.
+STARTS, ROWS = 12, 5
+#: Chosen shingles from which they sign a line, and under which all its shingles sign it (too).
+FEWEST, ENOUGH = 20, 28
+#: Values of signatures().
+BINS = 96
+#: Words of 64 cells that tell where a line's shingles fall.
 WORDS = 16
-#: Characters that are signed at a time.
-CHUNK = 1 << 19
 _EMPTY = np.uint32(0xFFFFFFFF)
+_STARTS = [-(2**63) + j * 2**64 // STARTS for j in range(STARTS)]
+#: Shingles that begin with chosen characters: about one in seven in Latin texts, all others.
+_CHOSEN = r"(?s)(?=([%s\x{80}-\x{10FFFF}].{%d}))" % ("".join(rf"\x{c:02x}" for c in range(128) if c % 6 == 5), WIDTH - 1)
 _PLACE = np.random.Generator(np.random.PCG64(31)).integers(0, 2**63, WIDTH, dtype=U64) * U64(2) + U64(1)
 
 
@@ -56,7 +60,7 @@ def _set(line: Column) -> Column:
 
 
 def signatures(lines: list[str]) -> np.ndarray:
-    """(lines, BINS) of lines that are not empty."""
+    """(lines, BINS) of lines that are not empty: least hashes of the parts of the hash range, in numpy. Only tests use it."""
     full = [x if len(x) >= WIDTH else x.ljust(WIDTH, "\0") for x in lines]
     lens = np.array([len(x) for x in full])
     points = np.frombuffer("".join(full).encode("utf-32-le"), np.uint32).astype(U64)
@@ -86,38 +90,6 @@ def signatures(lines: list[str]) -> np.ndarray:
     return out
 
 
-def _sign(seeds: tuple[int, int]):
-    """Rows (doc, text) to (doc, no, k1, k2, bands) of their lines; the keys are Spark's xxhash64 with these seeds."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, numbers, lines, size = [], [], [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for no, line in enumerate((text or "").split("\n")):
-                    if line := line.strip(" "):
-                        docs.append(doc)
-                        numbers.append(no)
-                        lines.append(line)
-                        size += len(line)
-                        if size >= CHUNK:
-                            yield _signed(docs, numbers, lines, seeds)
-                            docs, numbers, lines, size = [], [], [], 0
-            if lines:
-                yield _signed(docs, numbers, lines, seeds)
-
-    return run
-
-
-def _signed(docs: list[int], numbers: list[int], lines: list[str], seeds: tuple[int, int]) -> pa.RecordBatch:
-    place: dict[str, int] = {}
-    at = np.array([place.setdefault(x, len(place)) for x in lines])
-    raw = [x.encode() for x in place]
-    keys = [np.array([xxhash.xxh64_intdigest(x, seed) for x in raw], U64)[at] for seed in seeds]
-    bands = K.bands(signatures(list(place)), ROWS)[at]
-    off = np.arange(len(lines) + 1) * bands.shape[1]
-    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), *map(K.longs, keys), K.list_of(bands.reshape(-1), off)], ["doc", "no", "k1", "k2", "bands"])
-
-
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, no, line) of every line that is not blank, trimmed."""
     doc = F.col(id_col).cast("long")
@@ -125,88 +97,127 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return src.select("doc", "no", F.trim("line").alias("line")).where("line <> ''")
 
 
-def _kinds(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
-    """(node, k1, k2, doc, no, again, bands) of distinct lines: the first place, and whether there are others."""
-    doc = F.col(id_col).cast("long")
-    src = docs.where(doc.isNotNull()).select(doc.alias("doc"), F.col(text_col).cast("string").alias("text"))
-    second = spark.range(1).select(F.xxhash64(F.lit(1))).first()[0] % 2**64
-    lines = src.mapInArrow(_sign((42, second)), "doc long, no int, k1 long, k2 long, bands array<long>")
-    once = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "no")).alias("at"), (F.count("*") > 1).alias("again"), F.first("bands").alias("bands"))
-    kinds = scratch.cut(once.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "at.doc", "at.no", "again", "bands"), "kinds")
+def _keys(lines: DataFrame) -> list[Column]:
+    """Two independent hashes that tell lines apart."""
+    return [F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2")]
+
+
+def _places(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(doc, no, k1, k2) of every line, written."""
+    lines = lines_of(docs, id_col, text_col)
+    return scratch.cut(lines.select("doc", "no", *_keys(lines)), "places")
+
+
+def _kinds(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch, places: DataFrame | None = None) -> DataFrame:
+    """(k1, k2, doc, no, again) of distinct lines: the first place, and whether there are others."""
+    places = _places(docs, id_col, text_col, scratch) if places is None else places
+    once = places.groupBy("k1", "k2").agg(F.min(F.struct("doc", "no")).alias("at"), (F.count("*") > 1).alias("again"))
+    kinds = scratch.cut(once.select("k1", "k2", "at.doc", "at.no", "again"), "kinds")
     scratch.release()
     return kinds
 
 
-def _parities(texts: DataFrame) -> DataFrame:
-    """(node, n, odd) of texts (node, line): the size of the line's set, and for each of 64 * WORDS cells whether an odd
-    number of its shingles falls there. The cells in which two lines differ are at most the shingles that one of them
-    alone has, so pairs that differ in too many cells cannot be alike and need no comparison."""
-    each = texts.select("node", F.explode(_set(F.col("line"))).alias("h"))
+def _buckets(lines: DataFrame, *keys: str) -> DataFrame:
+    """(keys, bucket) of lines (keys, line): a row for each window of a line's signature, made in the row of the line."""
+    empty = F.array().cast("array<long>")
+    found = F.transform(F.regexp_extract_all("line", F.lit(_CHOSEN), F.lit(1)), lambda x: F.xxhash64(x))
+    chosen = lines.select(*keys, "line", F.when(F.length("line") >= FEWEST + WIDTH - 1, F.array_distinct(found)).otherwise(empty).alias("chosen"))
+    ways = F.array(
+        F.struct(F.lit(0).alias("way"), F.when(F.size("chosen") >= FEWEST, F.col("chosen")).otherwise(empty).alias("own")),
+        F.struct(F.lit(1).alias("way"), F.when(F.size("chosen") < ENOUGH, _set(F.col("line"))).otherwise(empty).alias("own")),
+    )
+    starts = F.array(*[F.lit(x).cast("long") for x in _STARTS])
+    # after the greatest the ring goes on from the least
+    around = lambda ring: F.concat(ring, F.slice(ring, 1, ROWS))
+    sets = chosen.select(*keys, F.inline(ways)).where(F.size("own") > 0).select(*keys, "way", F.sort_array(F.concat("own", starts)).alias("ring"))
+    ends = F.array(*[F.struct(F.lit(x).cast("long").alias("start"), F.lit(_STARTS[(j + ROWS) % STARTS]).cast("long").alias("bare")) for j, x in enumerate(_STARTS)])
+    each = sets.select(*keys, "way", around(F.col("ring")).alias("ring"))
+    # naming the ring in the generator has it made once a line, not once a window
+    each = each.select(*keys, "way", "ring", F.inline(F.when(F.size("ring") > 0, ends)))
+    entry = lambda i: F.get("ring", (F.array_position("ring", F.col("start")) + i).cast("int"))
+    # a window that ends with the start ROWS later holds no hash
+    return each.where(entry(ROWS - 1) != F.col("bare")).select(*keys, F.xxhash64("start", "way", *[entry(i) for i in range(ROWS)]).alias("bucket"))
+
+
+def _cells(texts: DataFrame) -> DataFrame:
+    """(node, fewest, most, cells) of texts (node, line): which of 64 * WORDS cells the line's shingles fall in, and bounds
+    of the size of its set. The cells that only one of two lines has are at most the shingles that one of them alone has,
+    so pairs that differ in too many cells cannot be alike and need no comparison."""
+    wide = texts.repartition("node").select("node", F.encode("line", "UTF-32").alias("wide"), F.sequence(F.lit(0), _last(F.col("line"))).alias("places"))
+    each = wide.select("node", "wide", F.explode("places").alias("at")).select("node", _hash(F.col("wide"), F.col("at")).alias("h"))
     bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) as int))")
     word = F.shiftrightunsigned("h", 48).bitwiseAND(F.lit(WORDS - 1).cast("long"))
-    sums = each.select("node", word.alias("word"), bit.alias("bit")).groupBy("node").agg(F.count("*").alias("n"), *[F.bit_xor(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)])
-    return sums.select("node", "n", F.array(*[f"w{w}" for w in range(WORDS)]).alias("odd"))
+    words = each.select("node", word.alias("word"), bit.alias("bit")).groupBy("node", "word").agg(F.count("*").alias("n"), F.bit_or("bit").alias("cells"))
+    sums = words.groupBy("node").agg(F.sum(F.bit_count("cells")).alias("fewest"), F.sum("n").alias("most"), *[F.max(F.when(F.col("word") == w, F.col("cells"))).alias(f"w{w}") for w in range(WORDS)])
+    return sums.select("node", "fewest", "most", F.array(*[F.coalesce(f"w{w}", F.lit(0).cast("long")) for w in range(WORDS)]).alias("cells"))
 
 
-def _possible(nx: Column, ny: Column, x: Column, y: Column, percent: int) -> Column:
-    """Whether sets of these sizes and parities can reach the similarity."""
-    apart = sum((F.bit_count(F.get(x, F.lit(w)).bitwiseXOR(F.get(y, F.lit(w)))) for w in range(1, WORDS)), F.bit_count(F.get(x, F.lit(0)).bitwiseXOR(F.get(y, F.lit(0)))))
-    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (apart * (100 + percent) <= (nx + ny) * (100 - percent))
+def _possible(x: Callable[[str], Column], y: Callable[[str], Column], percent: int) -> Column:
+    """Whether sets of these cells, x("cells") and so on, can reach the similarity."""
+    apart = sum((F.bit_count(F.get(x("cells"), F.lit(w)).bitwiseXOR(F.get(y("cells"), F.lit(w)))) for w in range(1, WORDS)), F.bit_count(F.get(x("cells"), F.lit(0)).bitwiseXOR(F.get(y("cells"), F.lit(0)))))
+    near = (x("most") * 100 >= y("fewest") * percent) & (y("most") * 100 >= x("fewest") * percent)
+    return near & (apart * (100 + percent) <= (x("most") + y("most")) * (100 - percent))
 
 
 def removed_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """(doc, gone: sorted line numbers) for every document that loses lines."""
     scratch = Scratch(spark, "lines")
-    keyed = lines_of(docs, id_col, text_col).select("doc", "no", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), "line")
-
     def texts_of(wanted: DataFrame) -> DataFrame:
-        """wanted (node, k1, doc, no, more) with the line of each; documents without a wanted line are not taken apart."""
+        """wanted (node, k2, doc, no) with the line of each; documents without a wanted line are not taken apart."""
         owners = scratch.cut(wanted.select(F.col("doc").alias("_owner")).distinct(), "owners")
         some = semi_join(docs.select(F.col(id_col).cast("long").alias("_owner"), F.col(text_col).alias("_text")), owners, "_owner")
-        return lines_of(some, "_owner", "_text").join(small_side(wanted), ["doc", "no"]).where(F.xxhash64("line") == F.col("k1")).dropDuplicates(["node"])
+        return lines_of(some, "_owner", "_text").join(small_side(wanted), ["doc", "no"]).where((F.xxhash64("line") == F.col("node")) & (F.xxhash64(F.lit(1), "line") == F.col("k2"))).dropDuplicates(["node"])
 
-    kinds = _kinds(spark, docs, id_col, text_col, scratch)
+    places = _places(docs, id_col, text_col, scratch)
+    kinds = _kinds(spark, docs, id_col, text_col, scratch, places)
     side: dict[str, DataFrame] = {}
 
     def prepare(pairs: DataFrame) -> None:
-        """Texts and parities of the members of shared buckets, which the first pairs name."""
+        """Texts and cells of the members of shared buckets, which the first pairs name."""
         nodes = scratch.cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
-        wanted = scratch.cut(kinds.select("node", "k1", "doc", "no").join(small_side(nodes), "node", "left_semi"), "wanted")
+        named = kinds.select(F.col("k1").alias("node"), F.struct("k2", "doc", "no").alias("at")).join(small_side(nodes), "node", "left_semi")
+        # of lines whose first key is the same by chance, one is linked
+        wanted = side["wanted"] = scratch.cut(named.groupBy("node").agg(F.min("at").alias("at")).select("node", "at.*"), "wanted")
         side["texts"] = scratch.cut(texts_of(wanted).select("node", "line"), "texts")
-        side["odd"] = scratch.cut(_parities(side["texts"]), "parities")
+        side["cells"] = scratch.cut(_cells(side["texts"]), "cells")
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = scratch.cut(pairs, "pairs")
         if not side:
             prepare(pairs)
-        odd, texts = side["odd"], side["texts"]
-        seen = pairs.join(small_side(odd).toDF("b", "nb", "ob"), "b").join(small_side(odd).toDF("a", "na", "oa"), "a")
-        alive = scratch.cut(seen.where(_possible(F.col("na"), F.col("nb"), F.col("oa"), F.col("ob"), percent)).select("a", "b", "na", "nb"), "alive")
+        cells, texts = side["cells"], side["texts"]
+        of = lambda at: cells.select(F.col("node").alias(at), *[F.col(c).alias(f"{at}_{c}") for c in cells.columns[1:]])
+        seen = pairs.join(small_side(of("b")), "b").join(small_side(of("a")), "a")
+        alive = scratch.cut(seen.where(_possible(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), percent)).select("a", "b"), "alive")
         full = texts.toDF("b", "tb").join(small_side(alive), "b").join(texts.toDF("a", "ta"), "a")
-        both = F.size(F.array_intersect(_set(F.col("ta")), _set(F.col("tb"))))
-        found = scratch.cut(full.where(both * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b"), "confirmed")
+        sets = full.select("a", "b", _set(F.col("ta")).alias("sa"), _set(F.col("tb")).alias("sb"))
+        holds = F.size(F.array_intersect("sa", "sb")) * (100 + percent) >= (F.size("sa") + F.size("sb")) * percent
+        # written with those that do not hold: a filter would make the sets once more
+        found = scratch.cut(sets.select("a", "b", holds.alias("holds")), "confirmed").where("holds").select("a", "b")
         scratch.drop(pairs, alive)
         return found
 
     def blocks(rows: DataFrame) -> DataFrame:
         # blocks are few and dear: as many partitions as can work, not as their bytes would tell
-        full = rows.join(side["odd"].withColumnRenamed("node", "id"), "id").repartition(4 * spark.sparkContext.defaultParallelism, "key1", "key2", "key3")
-        of = lambda at: F.collect_list(F.when(F.col("side") == at, F.struct("id", "component", "n", "odd")))
+        full = rows.join(side["cells"].withColumnRenamed("node", "id"), "id").repartition(4 * spark.sparkContext.defaultParallelism, "key1", "key2", "key3")
+        of = lambda at: F.collect_list(F.when(F.col("side") == at, F.struct("id", "component", "fewest", "most", "cells")))
         full = full.groupBy("key1", "key2", "key3").agg(of(0).alias("xs"), of(1).alias("ys"))
-        worth = lambda x, y: (x["component"] != y["component"]) & _possible(x["n"], y["n"], x["odd"], y["odd"], percent)
+        worth = lambda x, y: (x["component"] != y["component"]) & _possible(lambda c: x[c], lambda c: y[c], percent)
         ends = lambda x, y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b"))
         met = F.flatten(F.transform("xs", lambda x: F.transform(F.filter("ys", lambda y: worth(x, y)), lambda y: ends(x, y))))
         return verify(full.select(F.inline(met)).distinct())
 
-    buckets = kinds.select(F.explode("bands").alias("bucket"), F.col("node").alias("id"), F.lit(1).alias("size"))
-    label = link(buckets, verify, scratch, percent, blocks, large=0)
+    # a line is known by its first key, so that buckets need no join with the kinds
+    buckets = _buckets(lines_of(docs, id_col, text_col).select(F.xxhash64("line").alias("id"), "line"), "id")
+    label = link(buckets, verify, scratch, percent, blocks, large=0, dealt=True)
+    linked = label.join(side["wanted"].select(F.col("node").alias("id"), "k2"), "id").select(F.col("id").alias("k1"), "k2", "component")
     # only kinds that stand twice, or that gave way to another, lose lines
-    own = kinds.select("node", "k1", "k2", "again", F.struct("doc", "no").alias("at"))
-    own = scratch.cut(own.join(label.select(F.col("id").alias("node"), "component"), "node", "left").where("again or component is not null"), "own")
+    own = kinds.select("k1", "k2", "again", F.struct("doc", "no").alias("at"))
+    own = scratch.cut(own.join(linked, ["k1", "k2"], "left").where("again or component is not null"), "own")
     least = own.where("component is not null").groupBy("component").agg(F.min("at").alias("least"))
     kept = own.join(least, "component", "left").select("k1", "k2", F.coalesce("least", "at").alias("stays"))
     kept = scratch.cut(kept.select("k1", "k2", F.col("stays.doc").alias("sdoc"), F.col("stays.no").alias("sno")), "kept")
-    gone = keyed.select("doc", "no", "k1", "k2").join(small_side(kept), ["k1", "k2"]).where("doc <> sdoc or no <> sno").select("doc", "no")
+    gone = places.join(small_side(kept), ["k1", "k2"]).where("doc <> sdoc or no <> sno").select("doc", "no")
     return scratch.cut(gone.groupBy("doc").agg(F.sort_array(F.collect_set("no")).alias("gone")), "gone")
 
 

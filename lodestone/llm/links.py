@@ -33,15 +33,26 @@ def shared_buckets(buckets: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, percent: int, blocks: Callable[[DataFrame], DataFrame], large: int | None = None) -> DataFrame:
+def dealt_buckets(buckets: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same of buckets that are dear to make and may repeat rows: one shuffle serves to find what is shared and to take it."""
+    rows = buckets.select("bucket", "id").repartition("bucket")
+    least = rows.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("_most")).where("leader < _most").drop("_most")
+    shared = rows.join(least.hint("shuffle_hash"), "bucket").dropDuplicates(["bucket", "id"])
+    out = scratch.cut(shared.select("bucket", "id", F.lit(1).alias("size"), "leader"), "buckets")
+    scratch.release()
+    return out
+
+
+def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, percent: int, blocks: Callable[[DataFrame], DataFrame], large: int | None = None, dealt: bool = False) -> DataFrame:
     """(id, component) of the ids that have a link which holds.
 
     buckets (bucket long, id long, size), each pair of bucket and id once; verify takes (a, b), a < b, and returns
-    those that hold. blocks takes (key1, key2, key3, side, id, component), where the rows of one key are to be compared
+    those that hold. With `dealt`, buckets (bucket, id) may repeat rows and are made once. blocks takes (key1, key2,
+    key3, side, id, component), where the rows of one key are to be compared
     side 0 with side 1, and returns the links (a, b) that hold. Buckets under `large` members give their pairs by a
     join."""
     large = LARGE if large is None else large
-    shared = shared_buckets(buckets, scratch)
+    shared = (dealt_buckets if dealt else shared_buckets)(buckets, scratch)
     few = shared.count() <= MOST_TOGETHER
     shared = together(shared, few)
     first = shared.where("id > leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()

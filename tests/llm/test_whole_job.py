@@ -104,6 +104,24 @@ def test_line_dedup_recall_by_length(spark):
     assert len(alike) > 250 and found >= 0.97 * len(alike)
 
 
+def test_line_dedup_native(spark, monkeypatch):
+    """No line is handed to Python; copies with 16 to 34 chosen shingles, signed one way, the other or both, are found."""
+    r = random.Random(21)
+    rows, alike = [], 0
+    for k in range(120):
+        line = "".join(r.choice(LETTERS) for _ in range(105 + k))
+        at = r.randrange(len(line))
+        near = line[:at] + "Q" + line[at + 1 :]
+        rows += [(2 * k, line), (2 * k + 1, near)]
+        alike += 5 * len(grams(line) & grams(near)) >= 4 * len(grams(line) | grams(near))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(docs), name, None)
+    got = {x.doc_id: x.n_removed for x in dedup_lines(spark, docs).collect()}
+    assert alike == 120 and not any(got[2 * k] for k in range(120))
+    assert sum(got[2 * k + 1] for k in range(120)) >= 118
+
+
 def test_line_dedup_odd_lines(spark):
     """Rulers of any length are one line; ids may be any number; rows that repeat an id lose the same places."""
     big = 2**62
