@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .links import link
-from .scratch import MOST_BROADCAST, Scratch, semi_join, small_side
+from .scratch import MOST_BROADCAST, Scratch, row_bytes, semi_join, small_side
 
 U64 = K.U64
 #: Characters of a shingle; a shorter line is its own shingle.
@@ -30,8 +30,8 @@ STARTS, ROWS = 12, 5
 FEWEST, ENOUGH = 20, 28
 #: Values of signatures().
 BINS = 96
-#: Words of 64 cells that tell where a line's shingles fall.
-WORDS = 16
+#: Words of 64 cells that tell where a line's shingles fall; FINE of lines that are compared with a whole bucket.
+WORDS, FINE = 16, 64
 _EMPTY = np.uint32(0xFFFFFFFF)
 _STARTS = [-(2**63) + j * 2**64 // STARTS for j in range(STARTS)]
 #: Shingles that begin with chosen characters: about one in seven in Latin texts, all others.
@@ -139,24 +139,37 @@ def _buckets(lines: DataFrame, *keys: str) -> DataFrame:
     return each.where(entry(ROWS - 1) != F.col("bare")).select(*keys, F.xxhash64("start", "way", *[entry(i) for i in range(ROWS)]).alias("bucket"))
 
 
-def _cells(texts: DataFrame) -> DataFrame:
-    """(node, fewest, most, cells) of texts (node, line): which of 64 * WORDS cells the line's shingles fall in, and bounds
-    of the size of its set. The cells that only one of two lines has are at most the shingles that one of them alone has,
-    so pairs that differ in too many cells cannot be alike and need no comparison."""
-    wide = texts.repartition("node").select("node", F.encode("line", "UTF-32").alias("wide"), F.sequence(F.lit(0), _last(F.col("line"))).alias("places"))
-    each = wide.select("node", "wide", F.explode("places").alias("at")).select("node", _hash(F.col("wide"), F.col("at")).alias("h"))
+def _cells(texts: DataFrame, words: int = WORDS, exact: bool = False) -> DataFrame:
+    """(node, fewest, most, cells) of texts (node, line): which of 64 * words cells the line's shingles fall in, and bounds
+    of the size of its set, `most` being the size itself if exact. The cells that only one of two lines has are at most the
+    shingles that one of them alone has, so pairs that differ in too many cells cannot be alike and need no comparison."""
+    if exact:
+        each = texts.repartition("node").select("node", F.explode(_set(F.col("line"))).alias("h"))
+    else:
+        wide = texts.select("node", F.encode("line", "UTF-32").alias("wide"), F.sequence(F.lit(0), _last(F.col("line"))).alias("places"))
+        each = wide.select("node", "wide", F.explode("places").alias("at")).select("node", _hash(F.col("wide"), F.col("at")).alias("h"))
     bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) as int))")
-    word = F.shiftrightunsigned("h", 48).bitwiseAND(F.lit(WORDS - 1).cast("long"))
-    words = each.select("node", word.alias("word"), bit.alias("bit")).groupBy("node", "word").agg(F.count("*").alias("n"), F.bit_or("bit").alias("cells"))
-    sums = words.groupBy("node").agg(F.sum(F.bit_count("cells")).alias("fewest"), F.sum("n").alias("most"), *[F.max(F.when(F.col("word") == w, F.col("cells"))).alias(f"w{w}") for w in range(WORDS)])
-    return sums.select("node", "fewest", "most", F.array(*[F.coalesce(f"w{w}", F.lit(0).cast("long")) for w in range(WORDS)]).alias("cells"))
-
-
-def _possible(x: Callable[[str], Column], y: Callable[[str], Column], percent: int) -> Column:
+    word, zero = F.shiftrightunsigned("h", 48).bitwiseAND(F.lit(words - 1).cast("long")), F.lit(0).cast("long")
+    # sums of a line within a task go to a shuffle, if to any, WORDS words a row
+    parts = each.select("node", F.shiftright(word, WORDS.bit_length() - 1).alias("part"), word.bitwiseAND(F.lit(WORDS - 1).cast("long")).alias("word"), bit.alias("bit")).groupBy("node", "part")
+    sums = parts.agg(F.count("*").alias("most"), *[F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(zero)).alias(f"w{w}") for w in range(WORDS)])
+    full = sums.select("node", "part", "most", F.array(*[f"w{w}" for w in range(WORDS)]).alias("cells"))
+    if words > WORDS:
+        none = F.array(*[zero] * WORDS)
+        full = full.groupBy("node").agg(F.sum("most").alias("most"), F.concat(*[F.coalesce(F.max(F.when(F.col("part") == p, F.col("cells"))), none) for p in range(words // WORDS)]).alias("cells"))
+    return full.select("node", F.aggregate("cells", zero, lambda n, x: n + F.bit_count(x)).alias("fewest"), "most", "cells")
+
+
+def _possible(x: Callable[[str], Column], y: Callable[[str], Column], percent: int, words: int = WORDS) -> Column:
     """Whether sets of these cells, x("cells") and so on, can reach the similarity."""
-    apart = sum((F.bit_count(F.get(x("cells"), F.lit(w)).bitwiseXOR(F.get(y("cells"), F.lit(w)))) for w in range(1, WORDS)), F.bit_count(F.get(x("cells"), F.lit(0)).bitwiseXOR(F.get(y("cells"), F.lit(0)))))
     near = (x("most") * 100 >= y("fewest") * percent) & (y("most") * 100 >= x("fewest") * percent)
-    return near & (apart * (100 + percent) <= (x("most") + y("most")) * (100 - percent))
+    apart = None
+    for w in range(words):
+        one = F.bit_count(F.get(x("cells"), F.lit(w)).bitwiseXOR(F.get(y("cells"), F.lit(w))))
+        apart = one if apart is None else apart + one
+        if w + 1 in (WORDS, words):  # most pairs are too far apart by the first words
+            near = near & (apart * (100 + percent) <= (x("most") + y("most")) * (100 - percent))
+    return near
 
 
 def removed_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -166,7 +179,7 @@ def removed_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         """wanted (node, k2, doc, no) with the line of each; documents without a wanted line are not taken apart."""
         owners = scratch.cut(wanted.select(F.col("doc").alias("_owner")).distinct(), "owners")
         some = semi_join(docs.select(F.col(id_col).cast("long").alias("_owner"), F.col(text_col).alias("_text")), owners, "_owner")
-        return lines_of(some, "_owner", "_text").join(small_side(wanted), ["doc", "no"]).where((F.xxhash64("line") == F.col("node")) & (F.xxhash64(F.lit(1), "line") == F.col("k2"))).dropDuplicates(["node"])
+        return lines_of(some, "_owner", "_text").join(small_side(wanted), ["doc", "no"]).where((F.xxhash64("line") == F.col("node")) & (F.xxhash64(F.lit(1), "line") == F.col("k2"))).select("node", "line")
 
     places = _places(docs, id_col, text_col, scratch)
     kinds = _kinds(spark, docs, id_col, text_col, scratch, places)
@@ -178,34 +191,50 @@ def removed_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         named = kinds.select(F.col("k1").alias("node"), F.struct("k2", "doc", "no").alias("at")).join(small_side(nodes), "node", "left_semi")
         # of lines whose first key is the same by chance, one is linked
         wanted = side["wanted"] = scratch.cut(named.groupBy("node").agg(F.min("at").alias("at")).select("node", "at.*"), "wanted")
-        side["texts"] = scratch.cut(texts_of(wanted).select("node", "line"), "texts")
-        side["cells"] = scratch.cut(_cells(side["texts"]), "cells")
+        texts = scratch.cut(texts_of(wanted), "texts")
+        if texts.count() > wanted.count():  # rows that repeat an id
+            texts = scratch.cut(texts.dropDuplicates(["node"]), "texts")
+        side["texts"] = texts
+        side["cells"] = scratch.cut(_cells(texts), "cells")
+
+    def of(table: DataFrame, ids: DataFrame) -> DataFrame:
+        """Rows of a table of nodes whose node is among ids (id), which may repeat."""
+        return table.join(small_side(scratch.cut(ids.toDF("node").distinct(), "asked")), "node", "left_semi")
+
+    def confirm(alive: DataFrame) -> DataFrame:
+        """Those of written pairs whose full sets reach the similarity."""
+        texts = side["texts"]
+        full = texts.toDF("b", "tb").join(small_side(alive), "b").join(of(texts, alive.select("a")).toDF("a", "ta"), "a")
+        sets = full.select("a", "b", _set(F.col("ta")).alias("sa"), _set(F.col("tb")).alias("sb"))
+        holds = F.size(F.array_intersect("sa", "sb")) * (100 + percent) >= (F.size("sa") + F.size("sb")) * percent
+        # written with those that do not hold: a filter would make the sets once more
+        found = scratch.cut(sets.select("a", "b", holds.alias("holds")), "confirmed").where("holds").select("a", "b")
+        scratch.drop(alive)
+        return found
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = scratch.cut(pairs, "pairs")
         if not side:
             prepare(pairs)
-        cells, texts = side["cells"], side["texts"]
-        of = lambda at: cells.select(F.col("node").alias(at), *[F.col(c).alias(f"{at}_{c}") for c in cells.columns[1:]])
-        seen = pairs.join(small_side(of("b")), "b").join(small_side(of("a")), "a")
+        cells = side["cells"]
+        ends = [small_side(cells) if cells.count() * row_bytes(cells) <= MOST_BROADCAST else of(cells, pairs.select(at)) for at in ("a", "b")]
+        a, b = (x.select(F.col("node").alias(at), *[F.col(c).alias(f"{at}_{c}") for c in cells.columns[1:]]) for at, x in zip("ab", ends, strict=True))
+        seen = pairs.join(b, "b").join(a, "a")
         alive = scratch.cut(seen.where(_possible(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), percent)).select("a", "b"), "alive")
-        full = texts.toDF("b", "tb").join(small_side(alive), "b").join(texts.toDF("a", "ta"), "a")
-        sets = full.select("a", "b", _set(F.col("ta")).alias("sa"), _set(F.col("tb")).alias("sb"))
-        holds = F.size(F.array_intersect("sa", "sb")) * (100 + percent) >= (F.size("sa") + F.size("sb")) * percent
-        # written with those that do not hold: a filter would make the sets once more
-        found = scratch.cut(sets.select("a", "b", holds.alias("holds")), "confirmed").where("holds").select("a", "b")
-        scratch.drop(pairs, alive)
-        return found
+        scratch.drop(pairs)
+        return confirm(alive)
 
     def blocks(rows: DataFrame) -> DataFrame:
+        rows = scratch.cut(rows, "blocks")
+        fine = scratch.cut(_cells(of(side["texts"], rows.select("id")), FINE, exact=True), "fine")
         # blocks are few and dear: as many partitions as can work, not as their bytes would tell
-        full = rows.join(side["cells"].withColumnRenamed("node", "id"), "id").repartition(4 * spark.sparkContext.defaultParallelism, "key1", "key2", "key3")
-        of = lambda at: F.collect_list(F.when(F.col("side") == at, F.struct("id", "component", "fewest", "most", "cells")))
-        full = full.groupBy("key1", "key2", "key3").agg(of(0).alias("xs"), of(1).alias("ys"))
-        worth = lambda x, y: (x["component"] != y["component"]) & _possible(lambda c: x[c], lambda c: y[c], percent)
+        full = rows.join(fine.withColumnRenamed("node", "id"), "id").repartition(4 * spark.sparkContext.defaultParallelism, "key1", "key2", "key3")
+        of_side = lambda at: F.collect_list(F.when(F.col("side") == at, F.struct("id", "component", "fewest", "most", "cells")))
+        full = full.groupBy("key1", "key2", "key3").agg(of_side(0).alias("xs"), of_side(1).alias("ys"))
+        worth = lambda x, y: (x["component"] != y["component"]) & _possible(lambda c: x[c], lambda c: y[c], percent, FINE)
         ends = lambda x, y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b"))
         met = F.flatten(F.transform("xs", lambda x: F.transform(F.filter("ys", lambda y: worth(x, y)), lambda y: ends(x, y))))
-        return verify(full.select(F.inline(met)).distinct())
+        return confirm(scratch.cut(full.select(F.inline(met)).distinct(), "alive"))
 
     # a line is known by its first key, so that buckets need no join with the kinds
     buckets = _buckets(lines_of(docs, id_col, text_col).select(F.xxhash64("line").alias("id"), "line"), "id")

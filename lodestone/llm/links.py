@@ -60,7 +60,8 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch:
     label = components(edges, scratch)
 
     def open_buckets(rows: DataFrame) -> DataFrame:
-        known = rows.select("bucket", "id", "size").join(label, "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("component"))
+        # a leader has met all members of its bucket and need not be met again
+        known = rows.where("id <> leader").select("bucket", "id", "size").join(label, "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("component"))
         known = together(scratch.cut(known, "known"), few)
         several = known.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("members")).where("_lo < _hi")
         out = together(scratch.cut(known.join(several.select("bucket", "members"), "bucket"), "open"), few)
@@ -74,8 +75,9 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch:
         return label
     order = F.xxhash64("bucket", "id")
     other = still.groupBy("bucket").agg(F.min_by(F.struct("id", "component", "size"), order).alias("l"))
-    second = still.join(other, "bucket").select("id", "component", "size", F.col("l.id").alias("leader"), F.col("l.component").alias("leads"), F.col("l.size").alias("lsize"))
-    second = second.where("component <> leads").where(_alike("size", "lsize", percent)).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    still = scratch.cut(still.join(other, "bucket").select("bucket", "id", "component", "size", F.col("l.id").alias("leader"), F.col("l.component").alias("leads"), F.col("l.size").alias("lsize")), "led")
+    still = together(still, few)
+    second = still.where("component <> leads").where(_alike("size", "lsize", percent)).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     edges = edges.union(scratch.cut(verify(second.join(edges, ["a", "b"], "left_anti")), "edges"))
     label = components(edges, scratch)
 
