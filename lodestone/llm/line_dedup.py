@@ -12,6 +12,7 @@ full sets of shingles."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .links import link
-from .scratch import MOST_BROADCAST, Scratch, row_bytes, semi_join, small_side
+from .scratch import MOST_BROADCAST, Scratch, semi_join, small_side
 
 U64 = K.U64
 #: Characters of a shingle; a shorter line is its own shingle.
@@ -30,8 +31,10 @@ STARTS, ROWS = 12, 5
 FEWEST, ENOUGH = 20, 28
 #: Values of signatures().
 BINS = 96
-#: Words of 64 cells that tell where a line's shingles fall; FINE of lines that are compared with a whole bucket.
-WORDS, FINE = 16, 64
+#: Least hashes that make a sketch, and the bits in which sketches of lines that are compared differ at most.
+LEAST, APART = 28, 18
+#: Words of 64 cells that tell where the shingles of a line fall that is compared with a whole bucket; those a shuffle row has.
+FINE, WORDS = 64, 16
 _EMPTY = np.uint32(0xFFFFFFFF)
 _STARTS = [-(2**63) + j * 2**64 // STARTS for j in range(STARTS)]
 #: Shingles that begin with chosen characters: about one in seven in Latin texts, all others.
@@ -55,8 +58,8 @@ def _hash(wide: Column, at: Column) -> Column:
 
 
 def _set(line: Column) -> Column:
-    """Distinct hashes of a line's shingles."""
-    return let(F.encode(line, "UTF-32"), lambda wide: F.array_distinct(F.transform(F.sequence(F.lit(0), _last(line)), lambda at: _hash(wide, at))))
+    """Distinct hashes of a line's shingles. Spark compiles what stands outside of the lambdas, if not in a generator."""
+    return F.array_distinct(let(F.encode(line, "UTF-32"), lambda wide: F.transform(F.sequence(F.lit(0), _last(line)), lambda at: _hash(wide, at))))
 
 
 def signatures(lines: list[str]) -> np.ndarray:
@@ -111,63 +114,66 @@ def _places(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> Da
 def _kinds(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch, places: DataFrame | None = None) -> DataFrame:
     """(k1, k2, doc, no, again) of distinct lines: the first place, and whether there are others."""
     places = _places(docs, id_col, text_col, scratch) if places is None else places
-    once = places.groupBy("k1", "k2").agg(F.min(F.struct("doc", "no")).alias("at"), (F.count("*") > 1).alias("again"))
-    kinds = scratch.cut(once.select("k1", "k2", "at.doc", "at.no", "again"), "kinds")
+    # by documents first: least of numbers are hash aggregates, those of structs sort
+    rows = places.repartition("k1", "k2").groupBy("k1", "k2", "doc").agg(F.min("no").alias("no"), F.count("*").alias("n"))
+    once = rows.groupBy("k1", "k2").agg(F.min("doc").alias("doc"), F.min_by("no", "doc").alias("no"), (F.sum("n") > 1).alias("again"))
+    kinds = scratch.cut(once, "kinds")
     scratch.release()
     return kinds
 
 
 def _buckets(lines: DataFrame, *keys: str) -> DataFrame:
-    """(keys, bucket) of lines (keys, line): a row for each window of a line's signature, made in the row of the line."""
+    """(keys, bucket, sketch) of lines (keys, line): a row for each window of a line's signature, made in the row of the line.
+
+    The sketch has a bit for each remainder by 64: whether an odd number of the LEAST least hashes leave it. Lines at 0.8
+    have about 25 of 28 in common, so that about 6 bits differ; of lines that share a window by chance, about 22."""
     empty = F.array().cast("array<long>")
     found = F.transform(F.regexp_extract_all("line", F.lit(_CHOSEN), F.lit(1)), lambda x: F.xxhash64(x))
     chosen = lines.select(*keys, "line", F.when(F.length("line") >= FEWEST + WIDTH - 1, F.array_distinct(found)).otherwise(empty).alias("chosen"))
-    ways = F.array(
-        F.struct(F.lit(0).alias("way"), F.when(F.size("chosen") >= FEWEST, F.col("chosen")).otherwise(empty).alias("own")),
-        F.struct(F.lit(1).alias("way"), F.when(F.size("chosen") < ENOUGH, _set(F.col("line"))).otherwise(empty).alias("own")),
-    )
+    ways = [F.when(F.size("chosen") >= FEWEST, F.sort_array("chosen")), F.when(F.size("chosen") < ENOUGH, F.sort_array(_set(F.col("line"))))]
+    owns = chosen.select(*keys, *[own.otherwise(empty).alias(f"own{way}") for way, own in enumerate(ways)])
+    sets = owns.select(*keys, F.inline(F.array(*[F.struct(F.lit(way).alias("way"), F.col(f"own{way}").alias("own")) for way in (0, 1)]))).where(F.size("own") > 0)
     starts = F.array(*[F.lit(x).cast("long") for x in _STARTS])
+    odd = F.aggregate(F.slice("own", 1, LEAST), F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
+    rings = sets.select(*keys, "way", odd.alias("sketch"), F.sort_array(F.concat("own", starts)).alias("ring"))
     # after the greatest the ring goes on from the least
-    around = lambda ring: F.concat(ring, F.slice(ring, 1, ROWS))
-    sets = chosen.select(*keys, F.inline(ways)).where(F.size("own") > 0).select(*keys, "way", F.sort_array(F.concat("own", starts)).alias("ring"))
+    around = rings.select(*keys, "way", "sketch", F.concat("ring", F.slice("ring", 1, ROWS)).alias("ring"))
     ends = F.array(*[F.struct(F.lit(x).cast("long").alias("start"), F.lit(_STARTS[(j + ROWS) % STARTS]).cast("long").alias("bare")) for j, x in enumerate(_STARTS)])
-    each = sets.select(*keys, "way", around(F.col("ring")).alias("ring"))
-    # naming the ring in the generator has it made once a line, not once a window
-    each = each.select(*keys, "way", "ring", F.inline(F.when(F.size("ring") > 0, ends)))
-    entry = lambda i: F.get("ring", (F.array_position("ring", F.col("start")) + i).cast("int"))
+    # one expression for the window, so that its place in the ring is looked for once
+    each = around.select(*keys, "way", "sketch", "ring", F.inline(ends)).select(*keys, "way", "sketch", "start", "bare", F.slice("ring", (F.array_position("ring", F.col("start")) + 1).cast("int"), ROWS).alias("window"))
     # a window that ends with the start ROWS later holds no hash
-    return each.where(entry(ROWS - 1) != F.col("bare")).select(*keys, F.xxhash64("start", "way", *[entry(i) for i in range(ROWS)]).alias("bucket"))
-
-
-def _cells(texts: DataFrame, words: int = WORDS, exact: bool = False) -> DataFrame:
-    """(node, fewest, most, cells) of texts (node, line): which of 64 * words cells the line's shingles fall in, and bounds
-    of the size of its set, `most` being the size itself if exact. The cells that only one of two lines has are at most the
-    shingles that one of them alone has, so pairs that differ in too many cells cannot be alike and need no comparison."""
-    if exact:
-        each = texts.repartition("node").select("node", F.explode(_set(F.col("line"))).alias("h"))
-    else:
-        wide = texts.select("node", F.encode("line", "UTF-32").alias("wide"), F.sequence(F.lit(0), _last(F.col("line"))).alias("places"))
-        each = wide.select("node", "wide", F.explode("places").alias("at")).select("node", _hash(F.col("wide"), F.col("at")).alias("h"))
+    return each.where(F.element_at("window", -1) != F.col("bare")).select(*keys, F.xxhash64("start", "way", "window").alias("bucket"), "sketch")
+
+
+def _near(x: Column, y: Column) -> Column:
+    """Whether lines with these sketches are worth comparing."""
+    return F.bit_count(x.bitwiseXOR(y)) <= APART
+
+
+def _cells(texts: DataFrame) -> DataFrame:
+    """(node, fewest, most, cells) of texts (node, line): which of 64 * FINE cells the line's shingles fall in, how many of
+    them (fewest), and the size of its set. The cells that only one of two lines has are at most the shingles that one of
+    them alone has, so pairs that differ in too many cells cannot be alike and need no comparison."""
+    each = texts.repartition("node").select("node", _set(F.col("line")).alias("own")).select("node", F.explode("own").alias("h"))
     bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) as int))")
-    word, zero = F.shiftrightunsigned("h", 48).bitwiseAND(F.lit(words - 1).cast("long")), F.lit(0).cast("long")
-    # sums of a line within a task go to a shuffle, if to any, WORDS words a row
+    word, zero = F.shiftrightunsigned("h", 48).bitwiseAND(F.lit(FINE - 1).cast("long")), F.lit(0).cast("long")
+    # sums of a line, WORDS words a row
     parts = each.select("node", F.shiftright(word, WORDS.bit_length() - 1).alias("part"), word.bitwiseAND(F.lit(WORDS - 1).cast("long")).alias("word"), bit.alias("bit")).groupBy("node", "part")
     sums = parts.agg(F.count("*").alias("most"), *[F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(zero)).alias(f"w{w}") for w in range(WORDS)])
     full = sums.select("node", "part", "most", F.array(*[f"w{w}" for w in range(WORDS)]).alias("cells"))
-    if words > WORDS:
-        none = F.array(*[zero] * WORDS)
-        full = full.groupBy("node").agg(F.sum("most").alias("most"), F.concat(*[F.coalesce(F.max(F.when(F.col("part") == p, F.col("cells"))), none) for p in range(words // WORDS)]).alias("cells"))
+    none = F.array(*[zero] * WORDS)
+    full = full.groupBy("node").agg(F.sum("most").alias("most"), F.concat(*[F.coalesce(F.max(F.when(F.col("part") == p, F.col("cells"))), none) for p in range(FINE // WORDS)]).alias("cells"))
     return full.select("node", F.aggregate("cells", zero, lambda n, x: n + F.bit_count(x)).alias("fewest"), "most", "cells")
 
 
-def _possible(x: Callable[[str], Column], y: Callable[[str], Column], percent: int, words: int = WORDS) -> Column:
+def _possible(x: Callable[[str], Column], y: Callable[[str], Column], percent: int) -> Column:
     """Whether sets of these cells, x("cells") and so on, can reach the similarity."""
     near = (x("most") * 100 >= y("fewest") * percent) & (y("most") * 100 >= x("fewest") * percent)
     apart = None
-    for w in range(words):
+    for w in range(FINE):
         one = F.bit_count(F.get(x("cells"), F.lit(w)).bitwiseXOR(F.get(y("cells"), F.lit(w))))
         apart = one if apart is None else apart + one
-        if w + 1 in (WORDS, words):  # most pairs are too far apart by the first words
+        if w + 1 in (WORDS, FINE):  # most pairs are too far apart by the first words
             near = near & (apart * (100 + percent) <= (x("most") + y("most")) * (100 - percent))
     return near
 
@@ -183,28 +189,36 @@ def removed_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
 
     places = _places(docs, id_col, text_col, scratch)
     kinds = _kinds(spark, docs, id_col, text_col, scratch, places)
-    side: dict[str, DataFrame] = {}
-
-    def prepare(pairs: DataFrame) -> None:
-        """Texts and cells of the members of shared buckets, which the first pairs name."""
-        nodes = scratch.cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
-        named = kinds.select(F.col("k1").alias("node"), F.struct("k2", "doc", "no").alias("at")).join(small_side(nodes), "node", "left_semi")
-        # of lines whose first key is the same by chance, one is linked
-        wanted = side["wanted"] = scratch.cut(named.groupBy("node").agg(F.min("at").alias("at")).select("node", "at.*"), "wanted")
-        texts = scratch.cut(texts_of(wanted), "texts")
-        if texts.count() > wanted.count():  # rows that repeat an id
-            texts = scratch.cut(texts.dropDuplicates(["node"]), "texts")
-        side["texts"] = texts
-        side["cells"] = scratch.cut(_cells(texts), "cells")
+    asked: list[DataFrame] = []
+    owned: list[DataFrame] = []
+
+    def every(tables: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.union, tables)
+
+    def texts_for(nodes: DataFrame) -> DataFrame:
+        """Texts of the nodes (node, distinct and written) and of those asked for before."""
+        new = scratch.cut(nodes.join(every([x.select("node") for x in asked]), "node", "left_anti"), "new") if asked else nodes
+        if not asked or new.limit(1).count():
+            named = kinds.select(F.col("k1").alias("node"), F.struct("k2", "doc", "no").alias("at")).join(small_side(new), "node", "left_semi")
+            # of lines whose first key is the same by chance, one is linked
+            wanted = scratch.cut(named.groupBy("node").agg(F.min("at").alias("at")).select("node", "at.*"), "wanted")
+            texts = scratch.cut(texts_of(wanted), "texts")
+            if texts.count() > wanted.count():  # rows that repeat an id
+                texts = scratch.cut(texts.dropDuplicates(["node"]), "texts")
+            asked.append(wanted)
+            owned.append(texts)
+        return every(owned)
 
     def of(table: DataFrame, ids: DataFrame) -> DataFrame:
-        """Rows of a table of nodes whose node is among ids (id), which may repeat."""
-        return table.join(small_side(scratch.cut(ids.toDF("node").distinct(), "asked")), "node", "left_semi")
+        """Rows of a table of nodes whose node is among ids (node, distinct and written)."""
+        return table.join(small_side(ids), "node", "left_semi")
 
-    def confirm(alive: DataFrame) -> DataFrame:
-        """Those of written pairs whose full sets reach the similarity."""
-        texts = side["texts"]
-        full = texts.toDF("b", "tb").join(small_side(alive), "b").join(of(texts, alive.select("a")).toDF("a", "ta"), "a")
+    def verify(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose full sets reach the similarity."""
+        alive = scratch.cut(pairs, "alive")
+        texts = texts_for(scratch.cut(alive.select(F.col("a").alias("node")).union(alive.select("b")).distinct(), "nodes"))
+        first = scratch.cut(alive.select(F.col("a").alias("node")).distinct(), "asked")
+        full = texts.toDF("b", "tb").join(small_side(alive), "b").join(of(texts, first).toDF("a", "ta"), "a")
         sets = full.select("a", "b", _set(F.col("ta")).alias("sa"), _set(F.col("tb")).alias("sb"))
         holds = F.size(F.array_intersect("sa", "sb")) * (100 + percent) >= (F.size("sa") + F.size("sb")) * percent
         # written with those that do not hold: a filter would make the sets once more
@@ -212,34 +226,33 @@ def removed_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         scratch.drop(alive)
         return found
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.cut(pairs, "pairs")
-        if not side:
-            prepare(pairs)
-        cells = side["cells"]
-        ends = [small_side(cells) if cells.count() * row_bytes(cells) <= MOST_BROADCAST else of(cells, pairs.select(at)) for at in ("a", "b")]
-        a, b = (x.select(F.col("node").alias(at), *[F.col(c).alias(f"{at}_{c}") for c in cells.columns[1:]]) for at, x in zip("ab", ends, strict=True))
-        seen = pairs.join(b, "b").join(a, "a")
-        alive = scratch.cut(seen.where(_possible(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), percent)).select("a", "b"), "alive")
-        scratch.drop(pairs)
-        return confirm(alive)
+    def dealt(rows: DataFrame, columns: list[str]) -> DataFrame:
+        """(key1, key2, key3, xs, ys) of blocks: they are few and dear, so as many partitions as can work, not as their bytes would tell."""
+        full = rows.repartition(4 * spark.sparkContext.defaultParallelism, "key1", "key2", "key3")
+        of_side = lambda at: F.collect_list(F.when(F.col("side") == at, F.struct(*columns)))
+        return full.groupBy("key1", "key2", "key3").agg(of_side(0).alias("xs"), of_side(1).alias("ys"))
 
     def blocks(rows: DataFrame) -> DataFrame:
         rows = scratch.cut(rows, "blocks")
-        fine = scratch.cut(_cells(of(side["texts"], rows.select("id")), FINE, exact=True), "fine")
-        # blocks are few and dear: as many partitions as can work, not as their bytes would tell
-        full = rows.join(fine.withColumnRenamed("node", "id"), "id").repartition(4 * spark.sparkContext.defaultParallelism, "key1", "key2", "key3")
-        of_side = lambda at: F.collect_list(F.when(F.col("side") == at, F.struct("id", "component", "fewest", "most", "cells")))
-        full = full.groupBy("key1", "key2", "key3").agg(of_side(0).alias("xs"), of_side(1).alias("ys"))
-        worth = lambda x, y: (x["component"] != y["component"]) & _possible(lambda c: x[c], lambda c: y[c], percent, FINE)
+        # only members whose sketch is near another's are compared by cells
+        near = lambda x, y: (x["component"] != y["component"]) & _near(x["size"], y["size"])
+        with_near = lambda these, those: F.transform(F.filter(these, lambda x: F.exists(those, lambda y: near(x, y))), lambda x: x["id"])
+        full = dealt(rows, ["id", "component", "size"]).select("key1", "key2", "key3", with_near("xs", "ys").alias("nx"), with_near("ys", "xs").alias("ny")).where("size(nx) > 0")
+        sides = F.array(F.struct(F.lit(0).alias("side"), F.col("nx").alias("ids")), F.struct(F.lit(1).alias("side"), F.col("ny").alias("ids")))
+        some = scratch.cut(full.select("key1", "key2", "key3", F.inline(sides)).select("key1", "key2", "key3", "side", F.explode("ids").alias("id")), "near")
+        nodes = scratch.cut(some.select(F.col("id").alias("node")).distinct(), "nodes")
+        fine = scratch.cut(_cells(of(texts_for(nodes), nodes)), "fine").withColumnRenamed("node", "id")
+        full = dealt(rows.join(some, ["key1", "key2", "key3", "side", "id"], "left_semi").join(fine, "id"), ["id", "component", "size", "fewest", "most", "cells"])
+        worth = lambda x, y: near(x, y) & _possible(lambda c: x[c], lambda c: y[c], percent)
         ends = lambda x, y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b"))
         met = F.flatten(F.transform("xs", lambda x: F.transform(F.filter("ys", lambda y: worth(x, y)), lambda y: ends(x, y))))
-        return confirm(scratch.cut(full.select(F.inline(met)).distinct(), "alive"))
+        return verify(full.select(F.inline(met)).distinct())
 
     # a line is known by its first key, so that buckets need no join with the kinds
     buckets = _buckets(lines_of(docs, id_col, text_col).select(F.xxhash64("line").alias("id"), "line"), "id")
-    label = link(buckets, verify, scratch, percent, blocks, large=0, dealt=True)
-    linked = label.join(side["wanted"].select(F.col("node").alias("id"), "k2"), "id").select(F.col("id").alias("k1"), "k2", "component")
+    buckets = buckets.withColumnRenamed("sketch", "size")
+    label = link(buckets, verify, scratch, percent, blocks, large=0, dealt=True, near=_near)
+    linked = label.join(every(asked).select(F.col("node").alias("id"), "k2"), "id").select(F.col("id").alias("k1"), "k2", "component")
     # only kinds that stand twice, or that gave way to another, lose lines
     own = kinds.select("k1", "k2", "again", F.struct("doc", "no").alias("at"))
     own = scratch.cut(own.join(linked, ["k1", "k2"], "left").where("again or component is not null"), "own")

@@ -19,9 +19,9 @@ from .scratch import MOST_TOGETHER, Scratch, small_side, together
 LARGE, BLOCK = 48, 192
 
 
-def _alike(a: str, b: str, percent: int) -> Column:
+def _alike(a: Column, b: Column, percent: int) -> Column:
     """Sizes so far apart cannot reach the similarity."""
-    return F.least(F.col(a), F.col(b)) * 100 >= F.greatest(F.col(a), F.col(b)) * percent
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
 def shared_buckets(buckets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -34,28 +34,34 @@ def shared_buckets(buckets: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def dealt_buckets(buckets: DataFrame, scratch: Scratch) -> DataFrame:
-    """The same of buckets that are dear to make and may repeat rows: one shuffle serves to find what is shared and to take it."""
-    rows = buckets.select("bucket", "id").repartition("bucket")
-    least = rows.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("_most")).where("leader < _most").drop("_most")
-    shared = rows.join(least.hint("shuffle_hash"), "bucket").dropDuplicates(["bucket", "id"])
-    out = scratch.cut(shared.select("bucket", "id", F.lit(1).alias("size"), "leader"), "buckets")
+    """The same, with the leader's size as lsize and without the rows of the leaders, of buckets that are dear to make and
+    may repeat rows: one shuffle serves to find what is shared and to take it."""
+    rows = buckets.select("bucket", "id", "size").repartition("bucket")
+    least = rows.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("_most"), F.min_by("size", "id").alias("lsize")).where("leader < _most").drop("_most")
+    shared = rows.join(least.hint("shuffle_hash"), "bucket").where("id > leader").dropDuplicates(["bucket", "id"])
+    out = scratch.cut(shared.select("bucket", "id", "size", "leader", "lsize"), "buckets")
     scratch.release()
     return out
 
 
-def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, percent: int, blocks: Callable[[DataFrame], DataFrame], large: int | None = None, dealt: bool = False) -> DataFrame:
+def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, percent: int, blocks: Callable[[DataFrame], DataFrame], large: int | None = None, dealt: bool = False, near: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(id, component) of the ids that have a link which holds.
 
     buckets (bucket long, id long, size), each pair of bucket and id once; verify takes (a, b), a < b, and returns
-    those that hold. With `dealt`, buckets (bucket, id) may repeat rows and are made once. blocks takes (key1, key2,
-    key3, side, id, component), where the rows of one key are to be compared
+    those that hold. With `dealt`, buckets may repeat rows and are made once, and `near`
+    tells of two sizes, which may be any number that tells of an id's set, whether the ids are worth comparing. blocks
+    takes (key1, key2, key3, side, id, component, size), where the rows of one key are to be compared
     side 0 with side 1, and returns the links (a, b) that hold. Buckets under `large` members give their pairs by a
     join."""
     large = LARGE if large is None else large
+    alike = near or (lambda x, y: _alike(x, y, percent))
     shared = (dealt_buckets if dealt else shared_buckets)(buckets, scratch)
     few = shared.count() <= MOST_TOGETHER
     shared = together(shared, few)
-    first = shared.where("id > leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    met = shared.where("id > leader")
+    if dealt and near:
+        met = met.where(near(F.col("size"), F.col("lsize")))
+    first = met.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     edges = scratch.cut(verify(first), "edges")
     label = components(edges, scratch)
 
@@ -77,7 +83,7 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch:
     other = still.groupBy("bucket").agg(F.min_by(F.struct("id", "component", "size"), order).alias("l"))
     still = scratch.cut(still.join(other, "bucket").select("bucket", "id", "component", "size", F.col("l.id").alias("leader"), F.col("l.component").alias("leads"), F.col("l.size").alias("lsize")), "led")
     still = together(still, few)
-    second = still.where("component <> leads").where(_alike("size", "lsize", percent)).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    second = still.where("component <> leads").where(alike(F.col("size"), F.col("lsize"))).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     edges = edges.union(scratch.cut(verify(second.join(edges, ["a", "b"], "left_anti")), "edges"))
     label = components(edges, scratch)
 
@@ -90,7 +96,7 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch:
         small = rest.where(F.col("members") < large)
         left = small.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("size").alias("sa"))
         right = small.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"))
-        worth = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike("sa", "sb", percent)
+        worth = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike(F.col("sa"), F.col("sb"))
         edges = edges.union(verify(left.join(right, (left["bucket"] == right["bucket"]) & worth).select("a", "b").distinct()))
     edges = edges.union(blocks(_blocks(rest.where(F.col("members") >= large))))
     return components(scratch.cut(edges, "edges"), scratch)
@@ -103,6 +109,6 @@ def _blocks(rest: DataFrame) -> DataFrame:
     shape = shape.select("bucket", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("xs"), F.ceil(F.col("all") / BLOCK).cast("int").alias("ys"))
     rows = rest.join(shape, "bucket")
     mix = F.xxhash64("id")
-    x = rows.where("component <> main").select("bucket", F.pmod(mix, F.col("xs")).cast("int").alias("xb"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("yb"), F.lit(0).alias("side"), "id", "component")
-    y = rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("xb"), F.pmod(mix, F.col("ys")).cast("int").alias("yb"), F.lit(1).alias("side"), "id", "component")
-    return x.union(y).toDF("key1", "key2", "key3", "side", "id", "component")
+    x = rows.where("component <> main").select("bucket", F.pmod(mix, F.col("xs")).cast("int").alias("xb"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("yb"), F.lit(0).alias("side"), "id", "component", "size")
+    y = rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("xb"), F.pmod(mix, F.col("ys")).cast("int").alias("yb"), F.lit(1).alias("side"), "id", "component", "size")
+    return x.union(y).toDF("key1", "key2", "key3", "side", "id", "component", "size")

@@ -170,6 +170,28 @@ def test_line_dedup_large_group(spark, monkeypatch):
     assert compared[-1] < 5 * len(lines)  # the comparison of whole buckets
 
 
+def test_line_dedup_chance_meetings(spark, monkeypatch):
+    """Lines that share a window by chance are told apart by their sketches, before texts or shingles are taken for them."""
+    r = random.Random(40)
+    words = ["".join(r.choice(LETTERS) for _ in range(r.randint(2, 7))) for _ in range(40)]
+    lines = [" ".join(r.choice(words) for _ in range(r.randint(30, 60))) for _ in range(500)]
+    copies = [line[:90] + "Q" + line[91:] for line in lines[:60]]
+    taken = []
+    cut = Scratch.cut
+
+    def counted(self, df, name):
+        out = cut(self, df, name)
+        taken.extend([out.count()] * (name == "texts"))
+        return out
+
+    monkeypatch.setattr(Scratch, "cut", counted)
+    docs = spark.createDataFrame(list(enumerate(lines + copies)), "doc_id long, text string")
+    got = {x.doc_id: x.n_removed for x in dedup_lines(spark, docs).collect()}
+    assert not any(got[i] for i in range(500)) and sum(got[i] for i in range(500, 560)) == 60
+    # the copies and what they are copies of, and few others
+    assert 120 <= sum(taken) < 400
+
+
 def test_links_meet_once(spark):
     """A pair of a bucket is compared once, and every pair that no link connects is."""
     met = []
